@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -75,6 +76,16 @@ def unstage(df: DataFrame) -> None:
     drop_path(df.sparkSession, df.stage_path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more.
+
+    Spark notices unused shuffles only when the driver collects garbage, which a
+    driver with little to do may not do for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only for a table whose counted rows are within `most`."""
     return F.broadcast(df) if rows <= most else df
