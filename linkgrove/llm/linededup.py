@@ -62,7 +62,7 @@ def covered_lines(docs: DataFrame) -> DataFrame:
         .select("h1", "h2", "first"),
         "line-windows",
     )
-    later = all_windows.join(first, ["h1", "h2"]).where(F.struct("key", "at") > F.col("first"))
+    later = all_windows.join(first.hint("merge"), ["h1", "h2"]).where(F.struct("key", "at") > F.col("first"))
     return later.groupBy("key").agg(F.collect_set("at").alias("starts"))
 
 
@@ -76,29 +76,28 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     n_lines and n_removed are replaced.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    # the input's columns travel as one struct, so none can clash with ours
     gone = staged(covered_lines(docs), "line-removals")
-    keyed = docs.select(*names, _key().alias("_key"))
-    joined = keyed.join(gone, F.col("_key") == F.col("key"), "left")
-    split = joined.withColumn("_lines", _lines(F.col("text")))
-    at_words = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: _has_word(F.get("_lines", i)))
-    numbers = F.array_distinct(
-        F.flatten(F.transform("starts", lambda s: F.array(*[s + k for k in range(LINES)])))
-    )
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _key().alias("own"))
+    joined = keyed.join(gone.hint("merge"), F.col("own") == F.col("key"), "left")
+    split = joined.select("row", "starts", F.col("row")["text"].alias("body")).withColumn("lines", _lines(F.col("body")))
+    at_words = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: _has_word(F.get("lines", i)))
+    numbers = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.array(*[s + k for k in range(LINES)]))))
     removed = split.withColumn(
-        "_removed",
+        "removed",
         F.when(
             F.col("starts").isNotNull(),
             bind(at_words, lambda a: F.transform(numbers, lambda k: F.element_at(a, k))),
         ),
     )
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_removed"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
     text = F.when(
-        F.col("_removed").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
-    ).otherwise(F.col("text"))
+        F.col("removed").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
+    ).otherwise(F.col("body"))
     return removed.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in names],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
+        *[(text if c == "text" else F.col("row")[c]).alias(c) for c in names],
+        F.when(F.col("body").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
