@@ -210,7 +210,7 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     only if each of them is kept.
     """
     rejected = judge(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(rejected.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

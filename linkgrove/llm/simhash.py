@@ -153,7 +153,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Needs doc_id unique; rows with a null doc_id stay.
     """
     extra = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_extra"))
-    return docs.join(extra, F.col("doc_id") == F.col("_extra"), "left_anti")
+    return docs.join(extra.hint("shuffle_hash"), F.col("doc_id") == F.col("_extra"), "left_anti")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

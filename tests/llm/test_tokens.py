@@ -20,7 +20,7 @@ def library(name):
 @pytest.mark.parametrize("name", FILES)
 def test_pieces_equal_whole_texts(name, small_rows, odd_rows):
     enc, lib = Encoder(public_tokenizers.path(name), FILES[name]), library(name)
-    extra = ["a\nb", "a\n\nb", "a \nb", " a", "a ", "a\n", "'s x's 's", "é áb x ́y", "a b c", "", "\n", "a  b", "x\x1cy z", "ﬁ Å İ ß"]
+    extra = ["a\nb", "a\n\nb", "a \nb", " a", "a ", "a\n", "'s x's 's", "é áb x ́y", "a b c", "", "\n", "a  b", "x\x1cy z", "ﬁ Å İ ß", "a, b. c., d, ., e_, f, g2. h", "w.\nx,\ny", "Σίσυφος ΟΔΟΣ, x", "don't, it's. ok", "a \x00b", "x, <|endoftext|>, y"]
     for text in [t for _, t in small_rows] + [r[1] for r in odd_rows] + extra:
         assert enc.encode(text).tolist() == lib.encode(text or "", add_special_tokens=False).ids
 
@@ -29,6 +29,7 @@ def test_cache_stays_bounded(monkeypatch, small_rows):
     from linkgrove.llm import tokens
 
     monkeypatch.setattr(tokens, "CACHE_PIECES", 300)
+    monkeypatch.setattr(tokens, "KEEP_PIECES", 100)
     enc, lib = Encoder(public_tokenizers.path("byte_bpe_50k.json"), True), library("byte_bpe_50k.json")
     for _, text in small_rows[:60]:
         assert enc.encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids
