@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgrove.llm.common import staged, unstage
+from linkgrove.storage import staged, unstage
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,9 +34,10 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): the least node that each linked node reaches.
 
     `links` has two long columns u, v in any direction; self links and repeats are
-    harmless. Alternating large-star and small-star steps end in stars, after about
-    the logarithm of the longest path; every round is written to the shared folder,
-    so a lost executor costs one round's tasks, and the round before is dropped.
+    harmless. The least node of a component itself has no row. Alternating large-star
+    and small-star steps end in stars, after about the logarithm of the longest path;
+    every round is written to the shared folder, so a lost executor costs one round's
+    tasks, and the round before is dropped.
     """
     now = staged(
         links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
@@ -49,7 +50,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
     mark = signature(now)
     while mark[0]:
-        after = staged(_star(_star(now, True), False), name)
+        after = staged(_star(_star(now, True), False), name, mark[0])
         unstage(now)
         now, before, mark = after, mark, signature(after)
         if mark == before:
