@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkgrove.llm.common import table
-from linkgrove.llm.tokens import encoder
+from linkgrove.llm.tokens import encoded, encoder
 
 TIERS = (1024, 512, 256, 128)
 END_ID = 0
@@ -155,9 +155,8 @@ def packer(path: str, end_id: int = END_ID, pool: int = POOL):
         tokens: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                own = enc.encode(text.as_py())
-                ids.append(doc_id.as_py())
+            for doc_id, own in encoded(enc, batch.column(0), batch.column(1)):
+                ids.append(doc_id)
                 tokens.append(np.append(own, np.uint32(end_id)).astype("<u4"))
                 held += len(own) + 1
                 if held >= pool:

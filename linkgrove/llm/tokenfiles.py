@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkgrove.llm.common import new_path, staged, table
-from linkgrove.llm.tokens import encoder
+from linkgrove.llm.tokens import encoded, encoder
 
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -174,8 +174,8 @@ def _writer(tokenizer: str, folder: str, end_id: int):
 
         def documents():
             for batch in batches:
-                for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                    yield doc_id.as_py(), np.append(enc.encode(text.as_py()), np.uint32(end_id))
+                for doc_id, ids in encoded(enc, batch.column(0), batch.column(1)):
+                    yield doc_id, np.append(ids, np.uint32(end_id))
 
         where = f"{folder}/part-{part:07d}"
         docs, ids = write_part(where, documents(), wide)
