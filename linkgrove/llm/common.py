@@ -2,95 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkgrove.storage import free_shuffles, maybe_broadcast, new_path, shared_dir, staged, unstage
+
 #: ASCII white space, 0x09-0x0D and 0x20; words are runs of anything else.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-#: Largest table, in rows, that is hinted for a broadcast after its rows were counted.
-BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see, named by spark.checkpoint.dir.
-
-    Only a local[...] session without that setting gets a folder of its own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
-    own = tempfile.mkdtemp(prefix="linkgrove-")
-    atexit.register(shutil.rmtree, own, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/linkgrove/{name}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: lineage ends here.
-
-    Lost executors can only cost tasks of the running job, never this table.
-    The folder is removed when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stage_path = path
-    atexit.register(_forget, spark, path)
-    return out
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        drop_path(spark, path)
-    except Exception:  # the session may have ended before
-        pass
-
-
-def unstage(df: DataFrame) -> None:
-    """Drop a staged table that no later plan reads."""
-    drop_path(df.sparkSession, df.stage_path)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more.
-
-    Spark notices unused shuffles only when the driver collects garbage, which a
-    driver with little to do may not do for long.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only for a table whose counted rows are within `most`."""
-    return F.broadcast(df) if rows <= most else df
-
-
 def words(text: Column) -> Column:
     """Array of the words `[^\\x20\\x09-\\x0D]+` of a text; null gives none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")
@@ -103,3 +29,9 @@ def bind(value: Column, use) -> Column:
 
 def crc32(col: Column) -> Column:
     return F.crc32(col.cast("binary"))
+
+
+__all__ = [
+    "LOWER", "SPACE_CLASS", "UPPER", "bind", "crc32", "free_shuffles", "maybe_broadcast", "new_path", "shared_dir", "staged", "table",
+    "unstage", "words",
+]

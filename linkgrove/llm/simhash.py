@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkgrove.llm.common import LOWER, UPPER, staged, table
-from linkgrove.llm.graph import components
+from linkgrove.operators.components import components
 
 SEED = 42
 SHINGLE = 3
@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = nodes.join(reach, nodes["fp"] == reach["node"], "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("root")
     )
-    named = staged(grouped, "simhash-groups")
+    named = staged(grouped, "simhash-groups", own.count())
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(roots, "root").select("fp", "component_id")
     return own.join(by_fp, "fp").select(
