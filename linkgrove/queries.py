@@ -335,12 +335,12 @@ def cluster_measures(spark, sf_dir):
 
 
 @_query("best_threshold", _CELLS + _LONG + """
-SELECT measure, (t_idx * 0.1)::DOUBLE AS threshold, value FROM (
+SELECT measure, (t_idx / 10)::DOUBLE AS threshold, value FROM (
   SELECT *, row_number() OVER (PARTITION BY measure ORDER BY t_idx) AS pos, count(*) OVER (PARTITION BY measure) AS n FROM (
     SELECT *, max(value) OVER (PARTITION BY measure) AS best FROM long) WHERE value = best) WHERE pos = (n + 1) // 2
 """)
 def best_threshold(spark, sf_dir):
-    levels = threshold_table(spark, threshold_set([0.1 * i for i, _ in _LEVELS_K]))
+    levels = threshold_table(spark, threshold_set([i / 10 for i, _ in _LEVELS_K]))
     return metrics.best_thresholds(_measured(spark, sf_dir), levels)
 
 
