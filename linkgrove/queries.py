@@ -99,7 +99,7 @@ def _bucketized(thresholds: Thresholds) -> Query:
 
 
 _query("bucket_uniform", """
-SELECT t_idx, count(*) AS n, round(0.0 + t_idx * 0.01, 6) AS t
+SELECT t_idx, count(*) AS n, round((0.0 + t_idx * 0.01)::DOUBLE, 6) AS t
 FROM (SELECT greatest(ceil((l_discount - 0.0) / 0.01 - 1.4901161193847656e-8), 0)::INT AS t_idx FROM lineitem) GROUP BY t_idx
 """)(_bucketized(_UNIFORM))
 
