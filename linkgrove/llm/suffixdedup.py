@@ -38,11 +38,11 @@ from linkgrove.llm.common import free_shuffles, staged, table
 MIN_LENGTH = 100
 K = 32
 #: Bytes that numpy handles at once, and the slices that longer texts are cut into.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: Entries that a map task sorts at once; entries and segment bytes of a bucket.
-FLUSH = 3_000_000
-BUCKET_ENTRIES = 1_500_000
-BUCKET_BYTES = 4_000_000
+FLUSH = 400_000
+BUCKET_ENTRIES = 300_000
+BUCKET_BYTES = 700_000
 NO_ID = -(1 << 63)
 COVER, NEED = 0, 1
 
@@ -112,7 +112,8 @@ def minimizers(items: list[tuple[bytes, int, int, int]], length: int = MIN_LENGT
     segment = (sums[at + right] - sums[at - left]) * down[at - left]
     segment = _scramble(segment + left.astype(np.uint64) * np.uint64(0x9E37) + right.astype(np.uint64) * np.uint64(0xABCD1))
     place = at - begins[item] + np.array([x[1] for x in items])[item]
-    return item, place, grams[at] >> np.uint64(16), segment >> np.uint64(16)
+    # a minimizer's hash is a small number; scrambled again it spreads over the buckets
+    return item, place, _scramble(grams[at]) >> np.uint64(16), segment >> np.uint64(16)
 
 
 def slices(data: bytes, length: int = MIN_LENGTH, size: int = CHUNK) -> Iterator[tuple[bytes, int, int, int]]:
@@ -375,15 +376,16 @@ def common_prefix_borders(data: np.ndarray, least: int) -> tuple[np.ndarray, np.
     n = len(data)
     order = bounded_suffix_order(data, least)
     before = data[order - 1]  # row of suffix 0 takes the last value, as on a circle
-    by_value = np.argsort(before, kind="stable").astype(np.int64)
-    lf = np.empty(n, np.int64)
-    lf[by_value] = np.arange(n)
+    by_value = np.argsort(before, kind="stable").astype(np.int32)
+    lf = np.empty(n, np.int32)
+    lf[by_value] = np.arange(n, dtype=np.int32)
     values = before[by_value]
     switch = np.concatenate([[True], values[1:] != values[:-1]])
-    previous = np.empty(n, np.int64)
-    previous[by_value] = np.where(switch, -1, np.concatenate([[-1], by_value[:-1]]))
-    following = np.empty(n, np.int64)
-    following[by_value] = np.where(np.append(switch[1:], True), n, np.append(by_value[1:], n))
+    none = np.array([-1], np.int32)
+    previous, following = np.empty(n, np.int32), np.empty(n, np.int32)
+    previous[by_value] = np.where(switch, none, np.concatenate([none, by_value[:-1]]))
+    following[by_value] = np.where(np.append(switch[1:], True), np.int32(n), np.concatenate([by_value[1:], none]))
+    del before, values, by_value
     border = np.zeros(n + 1, bool)
     border[[0, n]] = True
     low = np.flatnonzero(switch)
