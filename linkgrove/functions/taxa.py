@@ -88,3 +88,8 @@ def make_seq_names(n: int, prefix: str) -> list[str]:
 def numbered_names(index: Column, count: Column, prefix: str) -> Column:
     """The same as a column: `index` from 0, `count` names in all."""
     return F.concat(F.lit(prefix), F.lpad((index + 1).cast("string"), F.length(count.cast("string")), F.lit("0")))
+
+
+def pad_strings(seq: Column, width: int, letter: str = "X") -> Column:
+    """Sequences padded on the right to one width."""
+    return F.rpad(seq, width, letter)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from linkgrove.config import FileDistance, HammingDistance, Prefilter, Wfa2Distance
@@ -264,10 +264,13 @@ def prefilter(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.withColumn("edits", edits).where(F.col("edits") <= bound)
 
 
-def seq_distmx_prealign(seqs: DataFrame, threshold: float, config=None, filter_config: Prefilter | None = None) -> DataFrame:
+def seq_distmx_prealign(
+    seqs: DataFrame, threshold: float, config=None, filter_config: Prefilter | None = None, counts: Observation | None = None
+) -> DataFrame:
     """Two stages: a cheap prefilter on the JVM, alignment of what is left.
 
-    score1 is the edit distance, dist1 the least distance it allows.
+    score1 is the edit distance, dist1 the least distance it allows. `counts`, if given,
+    observes how many pairs were aligned.
     """
     config, filter_config = config or Wfa2Distance(), filter_config or Prefilter()
     numbered = indexed(seqs)
@@ -275,6 +278,8 @@ def seq_distmx_prealign(seqs: DataFrame, threshold: float, config=None, filter_c
         near = kmer_pairs(numbered, filter_config.udist_threshold)
         return with_names(score_pairs(near, numbered, config, threshold), numbered)
     near = prefilter(length_pairs(numbered, threshold), threshold)
+    if counts is not None:
+        near = near.observe(counts, F.count(F.lit(1)).alias("aligned"))
     total = F.length("a") + F.length("b")
     first = near.select("seq_idx1", "seq_idx2", F.col("edits").cast("double").alias("_e"), (F.col("edits") * (2 - threshold) / total).alias("_d"))
     found = score_pairs(first, numbered, config, threshold).drop("score1", "dist1")

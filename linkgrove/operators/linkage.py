@@ -263,8 +263,23 @@ def cluster(
     largest = owned.groupBy("subset").count().agg(F.max("count")).first()[0] or 0
     if largest > (FOREST_PAIRS if forest_pairs is None else forest_pairs):
         return sweep_frames(tree, owned, count)
+    return _swept(owned, tree, count)
+
+
+def _swept(owned: DataFrame, tree: DataFrame | None, count: int) -> DataFrame:
+    """One task for each subset: its objects, as rows without t, and its forest."""
     rows = owned.select("subset", F.col("obj").alias("i"), F.col("obj").alias("j"), F.lit(None).cast("int").alias("t"))
-    return rows.unionByName(tree).groupBy("subset").applyInArrow(_sweep_group(count), _CLUSTERS)
+    if tree is not None:
+        rows = rows.unionByName(tree)
+    return rows.groupBy("subset").applyInArrow(_sweep_group(count), _CLUSTERS)
+
+
+def labels_of(tree: DataFrame | None, objects: DataFrame, thresholds: Thresholds) -> DataFrame:
+    """(subset, t_idx, obj, cluster) of a forest of subset 0, or of none."""
+    owned = objects.select(F.lit(0).cast("long").alias("subset"), F.col("obj").cast("long").alias("obj")).distinct()
+    if tree is not None and owned.count() > FOREST_PAIRS:
+        return sweep_frames(tree, owned, len(thresholds.distinct))
+    return _swept(owned, tree, len(thresholds.distinct))
 
 
 def distmx_cluster(distances: DataFrame, names: DataFrame, thresholds: Thresholds, members: DataFrame | None = None, **settings) -> DataFrame:

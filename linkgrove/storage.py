@@ -43,6 +43,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def list_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob pattern in any store that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return [s.getPath().toString() for s in found or []]
+
+
 def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back: lineage ends here.
 

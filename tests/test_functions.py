@@ -287,3 +287,4 @@ def test_names(spark):
     assert taxa.make_seq_names(10, "ASV")[0] == "ASV01" and taxa.make_seq_names(10, "ASV")[-1] == "ASV10"
     assert taxa.make_seq_names(100, "ASV")[0] == "ASV001"
     assert column(spark, [0, 9], "long", lambda x: taxa.numbered_names(x, F.lit(10), "ASV")) == ["ASV01", "ASV10"]
+    assert column(spark, ["AC", "ACGT"], "string", lambda x: taxa.pad_strings(x, 4)) == ["ACXX", "ACGT"]

@@ -141,6 +141,18 @@ def test_stream_adds_up(spark, points, tmp_path):
     assert {(r.t_idx, r.obj): r.cluster for r in got} == brute(points, range(25), t.values)
 
 
+def test_stream_goes_on_after_a_restart(spark, points, tmp_path):
+    t = cf.threshold_set([0.1, 0.2, 0.3, 0.5])
+    folder = f"file://{tmp_path}/state"
+    for k in range(4):  # a new driver for each batch
+        state = ForestStream(spark, t, folder)
+        assert state.batches == k
+        state.add(spark.createDataFrame(points[k::4], "id1 long, id2 long, dist double"), k)
+    got = ForestStream(spark, t, folder).clusters(spark.range(25).withColumnRenamed("id", "obj")).collect()
+    assert {(r.t_idx, r.obj): r.cluster for r in got} == brute(points, range(25), t.values)
+    assert len([p for p in (tmp_path / "state").iterdir()]) == 2
+
+
 # --- metrics ----------------------------------------------------------------------
 
 K = [[1, 2, 2, 4, 4], [1, 2, 2, 1, 2]]
@@ -306,6 +318,31 @@ def test_shortcuts(six):
     assert (row.score1, row.score2) == (1, 1) and row.dist1 <= row.dist2
 
 
+def test_aligned_pairs_are_counted(six):
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    dm.seq_distmx_prealign(six, 0.3, counts=seen).collect()
+    assert seen.get["aligned"] >= 10
+
+
+def test_external_plans(spark, six, tmp_path, monkeypatch):
+    """A script that stands for the program writes the table that it would."""
+    from linkgrove.plans import external as plans
+
+    fake = tmp_path / "usearch"
+    fake.write_text(
+        "#!/bin/sh\nfor a in \"$@\"; do case $p in -tabbedout) printf '0\\t1\\t0.05\\n' > $a;; -userout) out=$a;; esac; p=$a; done\n"
+        "case $1 in -allpairs_global) printf 'seq1\\tseq2\\t3\\t80\\n' > $out;; -usearch_global) printf 'seq1\\tseq2\\t80\\n' > $out;; esac\n"
+    )
+    fake.chmod(0o755)
+    monkeypatch.setenv("usearch", str(fake))
+    got = plans.seq_cluster_usearch(six, cf.threshold_set([0.1])).collect()
+    assert {r.obj_id: r.cluster for r in got}["seq2"] == 0 and len(got) == 6
+    assert plans.seq_distmx_usearch(six, 0.3).first().dist2 == pytest.approx(0.2)
+    assert plans.seq_search_usearch(six, six, 0.3).first().ref_id == "seq2"
+
+
 def test_prefilters_lose_nothing(spark):
     rng = random.Random(6)
     base = "".join(rng.choice("ACGT") for _ in range(40))
