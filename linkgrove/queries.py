@@ -423,10 +423,10 @@ def clean_taxonomy(spark, sf_dir):
 
 
 def _optima(spark, sf_dir):
-    """Thresholds made of mean balances, for every region and for the nations of even keys."""
+    """Thresholds made of mean balances, for every region and for nations with 60 customers or more."""
     t = _taxonomy(spark, sf_dir).join(table(spark, sf_dir, "customer").select(F.col("c_name").alias("seq_id"), "c_acctbal", "c_nationkey"), "seq_id")
     level = F.round(F.abs(F.avg("c_acctbal")) / 50000, 4)
-    own = t.where("c_nationkey % 2 = 0").groupBy("nation").agg(level.alias("threshold"))
+    own = t.groupBy("nation").agg(level.alias("threshold"), F.count(F.lit(1)).alias("n")).where("n >= 60").drop("n")
     segment = own.select(F.lit("segment").alias("rank"), F.lit("nation").alias("superrank"), F.col("nation").alias("supertaxon"), "threshold")
     parts = [segment]
     for rank, f in (("nation", 1.5), ("segment", 0.75)):
@@ -438,7 +438,7 @@ def _optima(spark, sf_dir):
 
 _OPTIMA = f"""{_TAXONOMY},
 w AS (SELECT tax.*, c_acctbal, c_nationkey FROM tax JOIN customer ON c_name = seq_id),
-own AS (SELECT nation, round(abs(avg(c_acctbal)) / 50000, 4) AS t FROM w WHERE c_nationkey % 2 = 0 GROUP BY nation),
+own AS (SELECT nation, round(abs(avg(c_acctbal)) / 50000, 4) AS t FROM w GROUP BY nation HAVING count(*) >= 60),
 reg AS (SELECT region, round(round(abs(avg(c_acctbal)) / 50000, 4) * 1.5, 6) AS tn, round(round(abs(avg(c_acctbal)) / 50000, 4) * 0.75, 6) AS ts FROM w GROUP BY region),
 first AS (SELECT * FROM reg ORDER BY region LIMIT 1)"""
 
