@@ -13,22 +13,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkgrove.storage import staged
+
 MEASURES = ("MCC", "RI", "ARI", "FMI", "MI", "AMI", "FM")
 
 
 def contingency(clusters: DataFrame, truth: DataFrame, keys: Sequence[str] = ("t_idx",)) -> DataFrame:
-    """(keys, k, c, nij, nk, nc, ntot). The truth is shared by the keys it has no column for."""
+    """(keys, k, c, nij, nk, nc, ntot). The truth is shared by the keys it has no column for.
+
+    The cells are written once, as every measure reads them; their sums are partial
+    aggregations joined back, so no task holds all cells of a threshold.
+    """
     shared = [x for x in keys if x in truth.columns]
     joined = clusters.join(truth, [*shared, "obj"])
-    cells = joined.groupBy(*keys, "k", "c").agg(F.count(F.lit(1)).alias("nij"))
-    return cells.select(
-        *keys,
-        "k",
-        "c",
-        "nij",
-        F.sum("nij").over(Window.partitionBy(*keys, "k")).alias("nk"),
-        F.sum("nij").over(Window.partitionBy(*keys, "c")).alias("nc"),
-        F.sum("nij").over(Window.partitionBy(*keys)).alias("ntot"),
+    cells = staged(joined.groupBy(*keys, "k", "c").agg(F.count(F.lit(1)).alias("nij")), "contingency")
+
+    def total(name: str, *by: str) -> DataFrame:
+        return cells.groupBy(*keys, *by).agg(F.sum("nij").alias(name))
+
+    return (
+        cells.join(total("nk", "k"), [*keys, "k"])
+        .join(total("nc", "c"), [*keys, "c"])
+        .join(total("ntot"), list(keys))
+        .select(*keys, "k", "c", "nij", "nk", "nc", "ntot")
     )
 
 

@@ -13,7 +13,7 @@ from linkgrove.operators.distances import seq_distmx
 from linkgrove.operators.linkage import cluster
 from linkgrove.operators.search import one_hit, seq_search
 from linkgrove.plans.optimize import NO_TAXON, calc_subtaxon_thresholds, calc_taxon_thresholds
-from linkgrove.sources.sequences import indexed
+from linkgrove.sources.sequences import indexed, with_index
 from linkgrove.storage import staged, unstage
 
 
@@ -186,9 +186,9 @@ def _name(fresh: DataFrame, parent_rank: str, rank: str, lower: Sequence[str]) -
         label = f"_c_{r}"
         firsts = fresh.groupBy("parent", label).agg(F.min("seq_id").alias("_first"))
         total = firsts.count()
-        at = F.row_number().over(Window.orderBy("_first", "parent"))
         width = max(3, len(str(total)))
-        named = firsts.select("parent", label, F.concat(F.lit(f"pseudo{r}_"), F.lpad(at.cast("string"), width, "0")).alias(r))
+        number = F.lpad((F.col("_number") + 1).cast("string"), width, "0")
+        named = with_index(firsts, ["_first", "parent"], "_number").select("parent", label, F.concat(F.lit(f"pseudo{r}_"), number).alias(r))
         out = out.join(named, ["parent", label])
     return out.select("seq_id", *lower)
 
