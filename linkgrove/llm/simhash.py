@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgrove.llm.common import LOWER, UPPER, staged, table
+from linkgrove.llm.common import LOWER, UPPER, bind, staged, table
 from linkgrove.operators.components import components
 
 SEED = 42
@@ -30,6 +30,8 @@ SHINGLE = 3
 THRESHOLD = 2
 #: Texts are hashed in slices of this many shingles, which bounds a worker's memory.
 SLICE = 200_000
+#: Fingerprints whose anchors one task lists.
+NODES_A_TASK = 20_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -92,12 +94,20 @@ def home_anchor(half: Column) -> Column:
 
 
 def near_anchors(half: Column) -> Column:
-    """Homes of all words within one bit: every anchor within radius plus threshold that can hold a partner."""
-    homes = F.transform(
-        F.sequence(F.lit(0), F.lit(31)), lambda p: home_anchor(_flip(half, p.cast("long")))
-    )
-    free = F.lit(1 << 31).cast("long")
-    return F.array_distinct(F.concat(homes, F.array(home_anchor(half).bitwiseXOR(free))))
+    """Homes of all words within one bit: every anchor within radius plus threshold that can hold a partner.
+
+    Flipping bit p changes the syndrome s to s XOR p, so one syndrome serves all words.
+    """
+
+    def homes(s: Column) -> Column:
+        flips = F.transform(
+            F.sequence(F.lit(0), F.lit(31)),
+            lambda p: _flip(_flip(half, p.cast("long")), p.cast("long").bitwiseXOR(s)),
+        )
+        other = _flip(half, s).bitwiseXOR(F.lit(1 << 31).cast("long"))
+        return F.array_distinct(F.concat(flips, F.array(other)))
+
+    return bind(_syndrome(half), homes)
 
 
 def _halves(fps: DataFrame) -> DataFrame:
@@ -134,12 +144,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     never names one; a component of null doc_ids alone has a null id.
     """
     own = staged(fingerprints(docs), "simhash-fingerprints")
+    rows = own.count()
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    reach = components(links(own.select("fp").distinct()), "simhash-components")
+    # short rows, but much work for each: tasks by their number, not by their bytes
+    spread = own.select("fp").distinct().repartition(max(1, -(-rows // NODES_A_TASK)), "fp")
+    reach = components(links(spread), "simhash-components")
     grouped = nodes.join(reach, nodes["fp"] == reach["node"], "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("root")
     )
-    named = staged(grouped, "simhash-groups", own.count())
+    named = staged(grouped, "simhash-groups", rows)
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(roots, "root").select("fp", "component_id")
     return own.join(by_fp, "fp").select(
