@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,10 +87,13 @@ def free_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more.
 
     Spark notices unused shuffles only when the driver collects garbage, which a
-    driver with little to do may not do for long.
+    driver with little to do may not do for long. Python's references reach the JVM
+    with the next call, hence two rounds.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
