@@ -37,8 +37,8 @@ FOLDS = 10
 #: Documents of this remainder are scored only; of the next, deleted to learn the weights.
 HELD_OUT, DELETED = 0, 1
 #: Tokens of a block and n-gram entries of a bucket: what one Python task holds.
-BLOCK = 3_000_000
-BUCKET_ENTRIES = 2_500_000
+BLOCK = 2_300_000
+BUCKET_ENTRIES = 1_600_000
 #: Buckets of the context frequency: 0, 1, 2-3, 4-7, ...
 CONTEXTS = 20
 #: Step of the EM table in natural logarithms of an estimate over the uniform one.
@@ -147,6 +147,18 @@ def _blocks(size: int):
     return run
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and each value's place among them; leaner than np.unique."""
+    order = np.argsort(values)
+    ranked = values[order]
+    fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    keys = ranked[fresh]
+    del ranked
+    at = np.empty(len(values), np.int32)
+    at[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return keys, at
+
+
 class Block:
     """A block's tokens and, for each order, its distinct n-grams."""
 
@@ -167,7 +179,7 @@ class Block:
                 context[1:] = grams[:-1]
                 context[self.begins] = START
                 grams = mix(context, words)
-            keys, at = np.unique(grams, return_inverse=True)
+            keys, at = _numbered(grams)
             self.keys.append(keys)
             self.at.append(at)
             self.model.append(np.bincount(at[model_tokens], minlength=len(keys)))
@@ -241,7 +253,7 @@ def _add_up(group: pa.Table) -> pa.Table:
     rows = group.to_pylist()
     keys = [_unzip_sorted(r["keys"]) for r in rows]
     ends = np.cumsum([len(k) for k in keys])
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    distinct, at = _numbered(np.concatenate(keys))
     del keys
     own, total = {}, {}
     for what in ("model", "deleted"):
