@@ -57,37 +57,45 @@ def _trimmed(cigar: Column) -> Column:
     return F.regexp_replace(cigar, r"(\d*[ID])+$", "")
 
 
+def _once(value: Column, use) -> Column:
+    """`use(value)` with the fold run once, however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _distance(s: Column) -> Column:
+    return F.when(s["length"] > 0, (s["length"] - s["match"]).cast("double") / s["length"])
+
+
+def _stats(length: Column, s: Column) -> list[Column]:
+    return [
+        length.alias("align_length"),
+        s["ins"].alias("n_insert"),
+        s["dele"].alias("n_delete"),
+        s["max_i"].alias("max_insert"),
+        s["max_d"].alias("max_delete"),
+    ]
+
+
 def cigar_distance(cigar: Column, extension: bool = False) -> Column:
     """Share of the alignment that is no match; null where nothing is aligned."""
-    body = _fold(_runs(_trimmed(cigar) if extension else cigar))
-    return F.element_at(
-        F.transform(
-            F.array(body), lambda s: F.when(s["length"] > 0, (s["length"] - s["match"]).cast("double") / s["length"])
-        ),
-        1,
-    )
+    return _once(_fold(_runs(_trimmed(cigar) if extension else cigar)), _distance)
+
+
+def cigar_summary(cigar: Column, extension: bool = False) -> Column:
+    """Struct of GAP_COLUMNS and dist, from one fold."""
+    if not extension:
+        return _once(_fold(_runs(cigar)), lambda s: F.struct(*_stats(s["length"], s), _distance(s).alias("dist")))
+    total = F.aggregate(_runs(cigar), F.lit(0), lambda n, r: n + r["n"])  # a free gap counts for the length alone
+    return _once(_fold(_runs(_trimmed(cigar))), lambda s: F.struct(*_stats(total, s), _distance(s).alias("dist")))
 
 
 def gap_stats(cigar: Column, extension: bool = False) -> Column:
     """Struct of GAP_COLUMNS."""
-    whole = _fold(_runs(cigar))
-    body = _fold(_runs(_trimmed(cigar))) if extension else whole
-    both = F.array(F.struct(whole.alias("whole"), body.alias("body")))  # each fold runs once
-    return F.element_at(
-        F.transform(
-            both,
-            lambda x: F.struct(
-                x["whole"]["length"].alias("align_length"),
-                x["body"]["ins"].alias("n_insert"),
-                x["body"]["dele"].alias("n_delete"),
-                x["body"]["max_i"].alias("max_insert"),
-                x["body"]["max_d"].alias("max_delete"),
-            ),
-        ),
-        1,
-    )
+    return _once(cigar_summary(cigar, extension), lambda s: F.struct(*[s[c].alias(c) for c in GAP_COLUMNS]))
 
 
-def add_gap_stats(df: DataFrame, cigar: str = "cigar", extension: bool = False) -> DataFrame:
-    stats = df.withColumn("_gaps", gap_stats(F.col(cigar), extension))
-    return stats.withColumns({c: F.col("_gaps")[c] for c in GAP_COLUMNS}).drop("_gaps")
+def add_gap_stats(df: DataFrame, cigar: str = "cigar", extension: bool = False, distance: str | None = None) -> DataFrame:
+    """Add GAP_COLUMNS, and the distance under the name `distance` if one is given."""
+    stats = df.withColumn("_gaps", cigar_summary(F.col(cigar), extension))
+    own = {c: F.col("_gaps")[c] for c in GAP_COLUMNS} | ({distance: F.col("_gaps")["dist"]} if distance else {})
+    return stats.withColumns(own).drop("_gaps")
