@@ -66,4 +66,14 @@ PAGES = [
     # long texts outside the article, told by class names alone
     f"""<body><div class="sidebar"><p>{_MORE}{_LOREM}</p></div><p data-main>{_LOREM}{_MORE}</p><p data-main>{_LOREM}</p>
 <div class="comments"><p>{_LOREM}{_MORE}</p><p>{_MORE}</p><p>{_LOREM}{_LOREM}</p></div><div class="promo"><p>{_MORE}{_MORE}</p></div></body>""",
+    # long titles, menus, headers, footers and asides, told by their elements alone
+    f"""<html><head><title>{_MORE}{_LOREM}</title></head><body><header><p>{_LOREM}{_LOREM}</p></header><nav><p>{_LOREM}{_MORE}</p></nav>
+<p data-main>{_MORE}{_LOREM}</p><p data-main>{_LOREM}</p><aside><p>{_MORE}</p></aside><p data-main>{_MORE}{_MORE}</p>
+<form><p>{_LOREM}</p></form><footer><p>{_MORE}{_LOREM}</p><p>{_LOREM}</p></footer></body></html>""",
+    f"""<html><head><title>{_LOREM}{_MORE}</title></head><body><article><h1 data-main>{_LOREM}</h1><p data-main>{_MORE}</p>
+<aside><p>{_MORE}{_LOREM}</p></aside><nav><p>{_LOREM}</p></nav><p data-main>{_LOREM}{_MORE}</p></article><footer>{_MORE}</footer></body></html>""",
+    # short marked texts right before long paragraphs
+    f"""<body><header><p>The little paper</p></header><h2 data-main>Nets</h2><p data-main>{_MORE}{_LOREM}</p><div class="ad"><p>Buy two lamps today.</p></div>
+<p data-main>{_LOREM}{_MORE}</p><aside><p>See our shop.</p></aside><p data-main>{_MORE}{_MORE}</p><div class="notice">We moved house.</div>
+<p data-main>{_LOREM}{_MORE}{_LOREM}</p><form><p>Write to us</p></form><p data-main>{_MORE}{_LOREM}</p><nav><p>Home</p></nav><p data-main>{_LOREM}{_MORE}</p></body>""",
 ]

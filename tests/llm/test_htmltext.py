@@ -57,6 +57,13 @@ def test_other_layouts():
     assert ht.main_text(page) == f"Title\n{long.strip()}\nShort.\n{long.strip()}"
 
 
+def test_long_titles_and_short_adverts():
+    long = "Many words stand in this paragraph so that it reads like running text of an article. " * 5
+    page = f"""<html><head><title>{long}</title></head><body><nav><p>{long}</p></nav><div class="ad">Buy now.</div><article><h1>{long}</h1><p>One.</p>
+    <div class="ad">Buy more.</div><p>{long}</p></article><div class="promo">Last days!</div><footer><p>{long}</p></footer></body></html>"""
+    assert ht.main_text(page) == f"{long.strip()}\nOne.\n{long.strip()}"
+
+
 def test_damaged_and_empty_pages(spark):
     pages = [
         (1, "u", None), (2, None, ""), (None, "u", "<p"), (4, "u", "<!-- open"), (5, "u", "<script>never closed"), (6, "u", "a < b"),
