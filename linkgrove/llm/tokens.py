@@ -22,8 +22,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker keeps, and those that stay when these are too many: its memory bound.
-CACHE_PIECES = 1_000_000
-KEEP_PIECES = 500_000
+CACHE_PIECES = 800_000
+KEEP_PIECES = 400_000
 #: Pieces of one call of the library.
 CALL = 4096
 #: White space that is no single blank or newline, or control characters: no cutting.
@@ -198,7 +198,7 @@ def encoder(path: str, joined: bool) -> Encoder:
     return _ENCODERS[path, joined]
 
 
-def encoded(enc: Encoder, ids, texts, size: int = 1 << 22):
+def encoded(enc: Encoder, ids, texts, size: int = 1 << 21):
     """(id, token ids) of each row of two Arrow columns; about `size` characters are encoded at once."""
     keys = ids.to_pylist()
     at = held = 0
