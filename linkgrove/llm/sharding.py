@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkgrove.llm.common import crc32, table
+from linkgrove.llm.common import crc32, staged, table
 
 #: Largest prime below 2**28: products of two residues stay within 64 bits.
 PRIME = 268435399
@@ -77,8 +77,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     Null text: size 16, CRC of no bytes. Null doc_id: key of the empty string.
     Repeated rows share a shard and get neighbouring slots. Slots count from 0 in
-    each shard without gaps. Small hashed groups are numbered apart, then offset
-    by the counts of the groups before, so no task holds a whole shard.
+    each shard without gaps. Texts are read and shards drawn once, into a table of
+    short columns; its small hashed groups are numbered apart, then offset by the
+    counts of the groups before, so no task holds a whole shard.
     """
     h1, h2 = key_halves(F.col("doc_id"))
     base = docs.select(
@@ -88,17 +89,21 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         h1.alias("h1"),
         h2.alias("h2"),
     )
-    groups = max(1, -(-docs.count() // (shards * ROWS_A_GROUP)))
     keyed = base.withColumn("best", weighted_choice(F.col("h1"), F.col("h2"), [1.0] * shards))
     newcomer = -draw(F.col("h1"), F.col("h2"), _constants(shards)).cast("double")
-    keyed = keyed.select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.col("best.shard").alias("shard"),
-        F.when(newcomer < F.col("best.cost"), shards).otherwise(F.col("best.shard")).alias("grown_shard"),
-        (F.col("h2") % groups).alias("grp"),
+    drawn = staged(
+        keyed.select(
+            "doc_id",
+            "size",
+            "text_crc32",
+            F.col("best.shard").alias("shard"),
+            F.when(newcomer < F.col("best.cost"), shards).otherwise(F.col("best.shard")).alias("grown_shard"),
+            "h2",
+        ),
+        "shard-draws",
     )
+    groups = max(1, -(-drawn.count() // (shards * ROWS_A_GROUP)))
+    keyed = drawn.withColumn("grp", F.col("h2") % groups)
     counts = keyed.groupBy("shard", "grp").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "grp", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
