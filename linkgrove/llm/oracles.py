@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkgrove.llm.quality import FENCE, METRICS, MIN_GROUP
+from linkgrove.llm.quality import METRICS, PRIOR, REACH, UNIT
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -37,29 +37,33 @@ FROM l LEFT JOIN kept k ON k.doc_id = l.doc_id
 
 
 def quality(docs: str = "documents") -> str:
-    metric_sql = {
-        "symbols_pm": "CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words ELSE 0 END",
-        "mean_word": "CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words ELSE 0 END",
-        "upper_pm": "CASE WHEN word_chars > 0 THEN n_upper * 1000 // word_chars ELSE 0 END",
-        "marks_pm": "CASE WHEN n_words > 0 THEN n_marks * 1000 // n_words ELSE 0 END",
-        "repeat_pm": "CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END",
-        "dup_lines_pm": "CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END",
-    }
-    long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM p WHERE n_words > 0" for m in METRICS)
-    floors = " ".join(f"WHEN '{m}' THEN {f}" for m, (f, _) in METRICS.items())
-    lows = ", ".join(f"'{m}'" for m, (_, low) in METRICS.items() if low) or "''"
-    values = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS metric, {m} AS v FROM p" for m in METRICS)
+    def value(name: str, spare: bool = False) -> str:
+        part, whole, free, _, _ = METRICS[name]
+        v = f"(CASE WHEN {whole} > 0 THEN {f'greatest({part} - {free}, 0)' if spare else part} * 1000 // {whole} ELSE 0 END)"
+        return f"({v} >> greatest(length(bin({v})) - 6, 0)::INT) << greatest(length(bin({v})) - 6, 0)::INT"
 
-    def quart(by: str, name: str) -> str:
+    long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {value(m)} AS v FROM p WHERE NOT base_failed" for m in METRICS)
+    level = "CASE metric " + " ".join(f"WHEN '{m}' THEN {rule[3]}" for m, rule in METRICS.items()) + " END"
+    lows = ", ".join(f"'{m}'" for m, rule in METRICS.items() if rule[4]) or "''"
+    values = " UNION ALL ".join(
+        f"SELECT doc_id, lang, source, '{m}' AS metric, {value(m)} AS v, {value(m, True)} AS spare FROM p" for m in METRICS
+    )
+    parts = ("low", "mid", "high")
+
+    def quant(by: str, name: str) -> str:
         group = f"{by}, " if by else ""
         return f"""{name} AS (
-  SELECT {group}metric, max(total) AS total, min(CASE WHEN cum * 4 >= total THEN v END) AS q25,
-    min(CASE WHEN cum * 4 >= total * 3 THEN v END) AS q75
-  FROM (SELECT {group}metric, v, sum(n) OVER (PARTITION BY {group}metric ORDER BY v) AS cum,
+  SELECT {group}metric, max(total) AS total, min(CASE WHEN cum * 100 >= total * (100 - level) THEN v END) * {UNIT} AS low,
+    min(CASE WHEN cum * 100 >= total * 50 THEN v END) * {UNIT} AS mid,
+    min(CASE WHEN cum * 100 >= total * level THEN v END) * {UNIT} AS high
+  FROM (SELECT {group}metric, v, {level} AS level, sum(n) OVER (PARTITION BY {group}metric ORDER BY v) AS cum,
       sum(n) OVER (PARTITION BY {group}metric) AS total
     FROM (SELECT {group}metric, v, sum(n) AS n FROM sk GROUP BY {group}metric, v))
   GROUP BY {group}metric)"""
 
+    def blend(own: str, other: str) -> str:
+        return ", ".join(f"({own}.total * {own}.{c} + {PRIOR} * {other}.{c}) // ({own}.total + {PRIOR}) AS {c}" for c in parts)
+
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {WORDS} AS ws FROM {docs}),
 wins AS (
@@ -79,26 +83,22 @@ wins AS (
   FROM d LEFT JOIN reps USING (doc_id)
 ), base AS (
   SELECT *, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines FROM m
-), p AS (SELECT *, {", ".join(f"{sql} AS {m}" for m, sql in metric_sql.items())} FROM base
+), p AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM base
 ), sk AS (
-  SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 6, 0)::INT) << greatest(length(bin(v)) - 6, 0)::INT AS v, count(*) AS n
-  FROM ({long}) GROUP BY ALL
-), {quart("lang, source", "own")}, {quart("lang", "lng")}, {quart("", "every")},
+  SELECT lang, source, metric, v, count(*) AS n FROM ({long}) GROUP BY ALL
+), {quant("lang, source", "own")}, {quant("lang", "lng")}, {quant("", "every")},
+lng2 AS (SELECT l.lang, l.metric, {blend("l", "e")} FROM lng l JOIN every e ON l.metric = e.metric),
 lim AS (
-  SELECT o.lang, o.source, o.metric,
-    CASE WHEN o.total >= {MIN_GROUP} THEN o.q25 WHEN l.total >= {MIN_GROUP} THEN l.q25 ELSE e.q25 END AS q25,
-    CASE WHEN o.total >= {MIN_GROUP} THEN o.q75 WHEN l.total >= {MIN_GROUP} THEN l.q75 ELSE e.q75 END AS q75
-  FROM own o JOIN lng l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN every e ON o.metric = e.metric
-), fence AS (
-  SELECT *, {FENCE} * greatest(q75 - q25, CASE metric {floors} END) AS reach FROM lim
+  SELECT o.lang, o.source, o.metric, {blend("o", "l")}
+  FROM own o JOIN lng2 l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric
 ), beyond AS (
-  SELECT v.doc_id, bool_or(v.v > f.q75 + f.reach OR (f.metric IN ({lows}) AND v.v < f.q25 - f.reach)) AS bad
-  FROM ({values}) v JOIN fence f
+  SELECT v.doc_id, bool_or(v.spare * {UNIT} > f.high + {REACH} * (f.high - f.mid)
+    OR (f.metric IN ({lows}) AND v.v * {UNIT} < f.low - {REACH} * (f.mid - f.low))) AS bad
+  FROM ({values}) v JOIN lim f
     ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source AND v.metric = f.metric
   GROUP BY v.doc_id
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(bad, false) AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(bad, false) AS kept
 FROM p LEFT JOIN beyond USING (doc_id)
 """

@@ -1,6 +1,11 @@
 import pytest
 
 LINES = ["one common line here", "two common line here", "three common line here", "four common line here"]
+#: Column names that operators use inside, given to the odd documents as columns of their own.
+CLASHING = (
+    "_bad _extra _leaky row whole kept base_failed ws n_words n_symbols metric f_lang l lm size shard slot grp best h1 h2 "
+    "fingerprint component_id item_id at w ws_hash hash first_doc first_at sequence_id ids text_crc32 part"
+).split()
 LONG = "the quick brown fox jumps over the lazy dog again " * 400
 
 
@@ -34,9 +39,10 @@ def odd_rows():
 @pytest.fixture(scope="session")
 def odd(spark, odd_rows):
     """The rows as documents with extra columns of clashing names."""
-    rows = [(*r, 7, "x", 1, "k") for r in odd_rows]
+    rows = [(*r, 7, "x", 1, "k", *(["own"] * len(CLASHING))) for r in odd_rows]
+    own = ", ".join(f"`{c}` string" for c in CLASHING)
     return spark.createDataFrame(
-        rows, "doc_id long, text string, lang string, source string, n_chars long, key string, v int, block string"
+        rows, f"doc_id long, text string, lang string, source string, n_chars long, key string, v int, block string, {own}"
     ).repartition(3)
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -15,6 +16,20 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+def brute_shard(doc_id, shards):
+    """Owner of a key by the definition, in plain integers."""
+    digest = hashlib.md5(("" if doc_id is None else str(doc_id)).encode()).hexdigest()
+    h1, h2 = int(digest[:7], 16), int(digest[8:15], 16)
+    p = sharding.PRIME
+
+    def rank(s):
+        a, b, c, d = sharding.shard_constants(s)
+        line = (h1 * a + h2 * b + c) % p
+        return -((line * line + h2 * d) % p), s
+
+    return min(map(rank, range(shards)))[1]
+
+
 def test_shards(small, small_rows, odd, odd_rows, none):
     for frame, rows in ((small, small_rows), (odd, [r[:2] for r in odd_rows]), (none, [])):
         got = sharding.shard_documents(frame).collect()
@@ -27,6 +42,17 @@ def test_shards(small, small_rows, odd, odd_rows, none):
             assert r.law == "key" and r.grown_shard in (r.shard, 40)
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
         assert len({(r.doc_id, r.shard) for r in got}) == len({r.doc_id for r in got})
+        for r in got:
+            assert (r.shard, r.grown_shard) == (brute_shard(r.doc_id, 40), brute_shard(r.doc_id, 41))
+        grown = sharding.shard_documents(frame, 41).collect()
+        assert sorted((str(r.doc_id), r.shard) for r in grown) == sorted((str(r.doc_id), r.grown_shard) for r in got)
+
+
+def test_ties_of_draws(spark, monkeypatch):
+    """With all draws equal the lowest shard owns every row, and a new shard takes none."""
+    monkeypatch.setattr(sharding, "draw", lambda h1, h2, c: h1 * 0)
+    got = sharding.shard_documents(spark.range(50).selectExpr("id as doc_id", "'x' as text")).collect()
+    assert {(r.shard, r.grown_shard) for r in got} == {(0, 0)} and sorted(r.slot for r in got) == list(range(50))
 
 
 def test_many_slot_groups(spark, monkeypatch):
@@ -70,12 +96,62 @@ def test_base_metrics(small, small_rows, odd, odd_rows, none):
 
 
 def test_sketches_merge(spark):
-    long = spark.createDataFrame([("a", "m", v, 1) for v in range(1000)] + [("b", "m", v, 1) for v in range(5000, 6000)], "g string, metric string, v long, n long")
+    long = spark.createDataFrame(
+        [("a", "mean_word", v, 1) for v in range(1000)] + [("b", "mean_word", v, 1) for v in range(5000, 6000)],
+        "g string, metric string, v long, n long",
+    )
     cut = long.withColumn("v", quality.cut_bits(long["v"]))
     both = quality.sketch(quality.sketch(cut, ["g"]), []).collect()
     assert sorted(both) == sorted(quality.sketch(cut, []).collect())
-    q = quality.quartiles(quality.sketch(cut, ["g"]), ["g"]).where("g = 'a'").first()
-    assert abs(q.q25 - 250) <= 250 / 32 + 1 and abs(q.q75 - 750) <= 750 / 32 + 1
+    q = quality.quantiles(quality.sketch(cut, ["g"]), ["g"]).where("g = 'a'").first()
+    for got, want in ((q.low, 100), (q.mid, 500), (q.high, 900)):
+        assert abs(got / quality.UNIT - want) <= want / 32 + 1
+
+
+def _texts(n, start, size, extra=""):
+    """n texts of 30 words with mean lengths spread evenly over three characters."""
+    return [(start + i, " ".join(f"{'abcdefghij'[k % 10] * (size + 3 * (k < i % 30))}{100 + i}x{k}" for k in range(30)) + extra * (i % 7), "en") for i in range(n)]
+
+
+def test_thresholds_follow_their_group(spark):
+    """One group's metric moves, its fences follow, the other group's stay but for the shared prior."""
+
+    def limits(size, extra):
+        rows = [(*r, "a") for r in _texts(300, 0, 5)] + [(*r, "b") for r in _texts(300, 1000, size, extra)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        return {r.source: r for r in quality.fences(quality.text_metrics(frame)).collect()}
+
+    plain, marked, longer = limits(5, ""), limits(5, " # A! A!"), limits(12, "")
+    for found, names in ((marked, ("high_symbols_pm", "high_upper_pm", "high_marks_pm")), (longer, ("high_mean_word", "low_mean_word"))):
+        for name in names:
+            assert abs(plain["a"][name] - plain["b"][name]) <= 0.02 * plain["a"][name]
+            assert found["b"][name] > 1.2 * found["a"][name] and found["b"][name] > 1.2 * plain["b"][name]
+
+
+def test_no_step_at_any_group_size(spark):
+    """A group that gains one document moves its fences by little, at every size."""
+    last = None
+    for n in (98, 99, 100, 101):
+        rows = [(*r, "a") for r in _texts(300, 0, 5)] + [(*r, "b") for r in _texts(n, 1000, 9)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        high = next(r.high_mean_word for r in quality.fences(quality.text_metrics(frame)).collect() if r.source == "b")
+        assert last is None or abs(high - last) < 0.03 * last
+        last = high
+
+
+def test_fences_differ_on_the_tables(spark):
+    found = quality.fences(quality.text_metrics(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))).toPandas()
+    for name in ("mean_word", "upper_pm", "repeat_pm", "dup_lines_pm"):
+        assert found[f"high_{name}"].nunique() > len(found) / 4
+    assert (found.low_mean_word > 2500 * quality.UNIT).all()
+
+
+def test_garbled_rows_go_each_on_its_own(spark):
+    good = [(*r, "s") for r in _texts(200, 1000, 5)]
+    bad = [(1003, " ".join(f"w{k}#%&*$" for k in range(40)), "en", "s"), (None, " ".join(f"v{k}##" for k in range(40)), "en", "s")]
+    frame = spark.createDataFrame([*good, good[5], *bad], "doc_id long, text string, lang string, source string")
+    kept = sorted(r.doc_id for r in quality.filter_documents(frame).collect())
+    assert kept == sorted([*range(1000, 1200), 1005])
 
 
 def test_labelled_documents(spark):
@@ -88,7 +164,9 @@ def test_labelled_documents(spark):
 
 def test_filter_keeps_columns(odd):
     kept = quality.filter_documents(odd)
-    assert kept.columns == odd.columns
+    assert kept.schema == odd.schema
+    verdicts = sorted(str(r.doc_id) for r in quality.judge(odd).where("kept").collect())
+    assert sorted(str(r.doc_id) for r in kept.collect()) == verdicts
 
 
 def brute_lines(rows):
