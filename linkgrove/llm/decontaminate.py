@@ -1,13 +1,19 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-The items are taken in blocks of bounded size, so what every task gets is bounded too;
-each block is one pass over all documents. A pass keeps, for each document and item
-with a common seed of SEED words, the words around the hits as numbers of the block's
-vocabulary. Seeds are then weighed by their document frequency in the whole corpus: a
-seed far more frequent than the item's median seed is no evidence and opens no
-alignment. As the yardstick is the item's own median, an item that leaked into a third
-of all documents keeps its seeds. Last, local alignment over words scores each
-candidate, so replaced, added and dropped words are tolerated.
+A document holds a copy of an item if an alignment over words either matches SIMILARITY
+of the item's words, or matches SIMILARITY of its own columns over half of the item
+(and at least LEAST words): so whole copies, edited ones and passages of an item count.
+
+The items are taken in blocks of bounded size, so what every task gets is bounded too.
+A block makes two passes over the documents. The first counts in how many documents
+each seed of the items stands. An alignment of a copy keeps a number of the item's
+seeds that can be told from the length alone, `kept_seeds`, whatever the edits are. So
+a third of that many seeds, the most frequent ones, open nothing: the second pass joins
+documents to items by the other, rarer seeds only, and still every copy shows two
+thirds of that number, on diagonals that one alignment can reach. Only a document and
+an item with so many are aligned. Which they are comes from one sort of the hits of
+many documents; pairs that merely share a phrase are never written, nor looked at one
+by one, and no copy is lost because its words are frequent.
 
 Documents are never shuffled or joined with each other; rows stay where they were read.
 """
@@ -16,7 +22,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +32,20 @@ from pyspark.sql import functions as F
 
 from linkgrove.llm.common import staged, table
 
-#: Shorter than the five words of other operators: five clean words need not remain in an edited copy.
+#: Words of a seed; shorter than the five words of other operators, as five clean words need not remain in an edited copy.
 SEED = 3
-#: Share of an item's words that an alignment must match.
-SIMILARITY = 0.8
-MATCH, MISMATCH, GAP = 2, -1, -1
-#: A seed opens alignments while its document frequency is at most this many times its item's median.
-RARE = 8
-#: Items of one pass, the bound of what is sent to every task.
-BLOCK_ITEMS = 20_000
+#: Words of a seed of items with at most SHORT words, of which an edit may leave no longer run.
+SHORT_SEED, SHORT = 2, 5
+#: Share of words that an alignment must match, as a fraction of whole numbers.
+SIMILAR = (4, 5)
+#: Least words of a passage of an item that count as a copy; items of fewer words count as a whole.
+LEAST = 13
+#: (match, other column) of the two alignments: the first bridges long edits, the second stops where copying stops.
+LOOSE, TIGHT = (2, -1), (1, -3)
+#: Bounds of a pass: items, and words of all its items, which bound what is sent to every task.
+BLOCK_ITEMS, BLOCK_WORDS = 20_000, 500_000
+#: Characters of texts, and entries of seeds in items, that a task handles at once.
+PIECE, ENTRIES = 1 << 21, 1 << 21
 _WORD = re.compile(r"\w+")
 
 
@@ -41,6 +53,34 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def least_span(n: int) -> int:
+    """Words of an item of n words that a copy of a passage must span."""
+    return max(-(-n // 2), min(n, LEAST))
+
+
+@cache
+def kept_seeds(n: int) -> int:
+    """Seeds of an item of n words that every copy keeps.
+
+    A span of s words with m matches has at most m / 4 edits. An edit of an item's word
+    breaks as many seeds as a seed has words, an added word one less.
+    """
+    q = SHORT_SEED if n <= SHORT else SEED
+    a, b = SIMILAR
+    s = least_span(n) if n > SHORT else n
+    left = s
+    for changed in range(s // (q + 1) + 1):
+        edits = (s - changed) * (b - a) // a
+        if edits >= changed:
+            left = min(left, s - (q - 1) - q * changed - (q - 1) * (edits - changed))
+    return max(1, left)
+
+
+def reach(n: int) -> int:
+    """Words by which a copy of an item of n words may be longer or shorter: one edit for every four matches."""
+    return n * (SIMILAR[1] - SIMILAR[0]) // SIMILAR[0] + 1
+
+
 class Items:
     """A block of items: vocabulary, seeds, and where each seed stands."""
 
@@ -49,224 +89,322 @@ class Items:
         self.vocab: dict[str, int] = {}
         self.words = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(r[1])], np.int64) for r in rows]
         self.base = len(self.vocab) + 1
-        keys = [self.keys(w) for w in self.words]
-        owner = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
-        flat = np.concatenate([*keys, np.empty(0, np.int64)])
+        self.short = any(SEED <= len(w) <= SHORT for w in self.words)
+        own = [self._own(w) for w in self.words]
+        flat = np.concatenate([*own, np.empty(0, np.int64)])
+        owner = np.repeat(np.arange(len(rows)), [len(k) for k in own])
         self.seeds, at = np.unique(flat, return_inverse=True)
+        #: Entries (seed, item, place of the seed in the item) in the order of seeds.
         order = np.argsort(at, kind="stable")
-        self.owner = owner[order]
-        self.place = np.concatenate([*map(np.arange, map(len, keys)), np.empty(0, np.int64)]).astype(np.int64)[order]
-        self.first = np.searchsorted(at[order], np.arange(len(self.seeds) + 1))
+        place = np.concatenate([*map(np.arange, map(len, own)), np.empty(0, np.int64)]).astype(np.int64)
+        self.entry_seed, self.owner, self.place = at[order], owner[order], place[order]
 
-    def keys(self, numbers: np.ndarray) -> np.ndarray:
-        """Seed keys of neighbouring words; 0 where a word is unknown."""
-        n = len(numbers) - SEED + 1
+    def _own(self, numbers: np.ndarray) -> np.ndarray:
+        n = len(numbers)
+        if n < SEED:
+            return np.empty(0, np.int64)
+        return self.keys(numbers, SHORT_SEED if n <= SHORT else SEED)
+
+    def keys(self, numbers: np.ndarray, q: int) -> np.ndarray:
+        """Seed keys of q neighbouring words; 0 where a word is unknown. Keys of different q differ."""
+        n = len(numbers) - q + 1
         if n < 1:
             return np.empty(0, np.int64)
         key, known = numbers[:n].copy(), numbers[:n] > 0
-        for k in range(1, SEED):
+        for k in range(1, q):
             key = key * self.base + numbers[k : k + n]
             known &= numbers[k : k + n] > 0
         return np.where(known, key, 0)
 
-    def numbers(self, text: str | None) -> np.ndarray:
-        ws = words(text)
-        return np.fromiter(map(self.vocab.get, ws, repeat(0)), np.int64, len(ws))
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of all texts, 0 for unknown words and after each text, and where each text starts."""
+        found = [words(t) for t in texts]
+        ends = np.cumsum([len(w) + 1 for w in found])
+        get = self.vocab.get
+        flat = np.fromiter(map(get, chain.from_iterable((*w, "") for w in found), repeat(0)), np.int64, int(ends[-1]) if len(ends) else 0)
+        return flat, np.concatenate([[0], ends]).astype(np.int64)
 
     def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, seed numbers) of the seeds in a document."""
-        keys = self.keys(numbers)
-        some = np.flatnonzero(keys)
-        if not len(some) or not len(self.seeds):
-            return some[:0], some[:0]
-        at = np.minimum(np.searchsorted(self.seeds, keys[some]), len(self.seeds) - 1)
-        true = self.seeds[at] == keys[some]
-        return some[true], at[true]
-
-
-_FOUND = "doc_id long, item int, seeds array<int>, places array<int>, base array<int>, sizes array<int>, window binary"
-
-
-def _windows(places: np.ndarray, reach: int, n: int) -> list[tuple[int, int]]:
-    """Disjoint rising word ranges within `reach` of the places."""
-    out: list[tuple[int, int]] = []
-    for p in places.tolist():
-        low, high = max(0, p - reach), min(n, p + reach + SEED)
-        if out and low <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], high))
-        else:
-            out.append((low, high))
-    return out
-
-
-def _reach(length: int) -> int:
-    """Words on each side of a seed that an alignment of the item can touch."""
-    return length + int(length * (1 - SIMILARITY) * 2) + 2
-
-
-def _find(items: Items):
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("item", pa.int32()), ("seeds", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())),
-        ("base", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("window", pa.binary()),
-    ])
+        """(places, seed numbers) of the block's seeds."""
+        places, seeds = [], []
+        for q in (SEED, SHORT_SEED) if self.short else (SEED,):
+            keys = self.keys(numbers, q)
+            some = np.flatnonzero(keys)
+            if len(some) and len(self.seeds):
+                at = np.minimum(np.searchsorted(self.seeds, keys[some]), len(self.seeds) - 1)
+                true = self.seeds[at] == keys[some]
+                places.append(some[true])
+                seeds.append(at[true])
+        none = np.empty(0, np.int64)
+        return np.concatenate([*places, none]), np.concatenate([*seeds, none])
+
+    def close(self, frequency: np.ndarray) -> None:
+        """Let each item's most frequent seeds open nothing, a third of those that every copy keeps."""
+        order = np.lexsort((self.entry_seed, -frequency[self.entry_seed], self.owner))
+        sizes = np.bincount(self.owner, minlength=len(self.ids))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        kept = np.array([kept_seeds(len(w)) for w in self.words], np.int64)
+        closed = kept // 3
+        opens = np.ones(len(order), bool)
+        opens[order] = rank >= closed[self.owner[order]]
+        #: Open entries by seed, and how many of its open seeds a copy of each item shows.
+        self.entry_seed, self.owner, self.place = self.entry_seed[opens], self.owner[opens], self.place[opens]
+        self.first = np.searchsorted(self.entry_seed, np.arange(len(self.seeds) + 1))
+        self.least = kept - closed
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.far = np.array([reach(len(w)) for w in self.words], np.int64)
+
+    def common(self, k: int, window: np.ndarray) -> int:
+        """Words that item k and a window have in common, repeats counted: no alignment matches more."""
+        own, times = np.unique(self.words[k], return_counts=True)
+        at = np.minimum(np.searchsorted(own, window), len(own) - 1)
+        return int(np.minimum(np.bincount(at[own[at] == window], minlength=len(own)), times).sum())
+
+
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """Runs of texts of about PIECE characters with the place of their first."""
+    start, part, size = 0, [], 0
+    for k, t in enumerate(texts):
+        part.append(t.as_py())
+        size += len(part[-1] or "")
+        if size >= PIECE:
+            yield start, part
+            start, part, size = k + 1, [], 0
+    if part:
+        yield start, part
+
+
+def _count(items: Items):
+    """(seed, n): in how many rows of the task each seed stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(items.seeds), np.int64)
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                numbers = items.numbers(text.as_py())
+            for _, part in _pieces(batch.column(0)):
+                numbers, starts = items.numbers(part)
                 places, seeds = items.hits(numbers)
-                if not len(places):
-                    continue
-                doc = doc_id.as_py()
-                fan = items.first[seeds + 1] - items.first[seeds]
-                entries = np.repeat(items.first[seeds] - (np.cumsum(fan) - fan), fan) + np.arange(fan.sum())
-                owner = items.owner[entries]
-                where, which = np.repeat(places, fan), np.repeat(seeds, fan)
-                for item in np.unique(owner):
-                    mine = owner == item
-                    own = np.unique(where[mine])
-                    spans = _windows(own, _reach(len(items.words[item])), len(numbers))
-                    pairs = np.unique(np.column_stack([where[mine], which[mine]]), axis=0)
-                    out.append({
-                        "doc_id": doc, "item": int(item), "seeds": pairs[:, 1].tolist(), "places": pairs[:, 0].tolist(),
-                        "base": [a for a, _ in spans], "sizes": [b - a for a, b in spans],
-                        "window": np.concatenate([numbers[a:b] for a, b in spans]).astype("<u4").tobytes(),
-                    })
-                if len(out) >= 1000:
-                    yield pa.RecordBatch.from_pylist(out, schema)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
+                row = np.searchsorted(starts, places, "right")
+                once = np.unique(row * max(1, len(total)) + seeds)
+                total += np.bincount(once % max(1, len(total)), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["seed", "n"])
 
     return run
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
-    """Best local alignment of two word arrays: (matches, score, start, end in `text`).
+def _cells(item: np.ndarray, text: np.ndarray, rule: tuple[int, int], anchored: bool) -> tuple[int, int, int, int]:
+    """Best cell of an alignment matrix: (score, matches, words of the item, words of the text) before it.
 
-    Unknown words, number 0 of `text`, match nothing. A row of the matrix is one vector
-    operation: gaps along it are a running maximum. Ties: the first best cell.
+    A cell holds its score above 32 bits of matches, so of equal scores the one with more
+    matches wins; ties then go to the first cell. A row is a few vector operations on the
+    row before, gaps along it a running maximum, so memory is in proportion to the text.
+    Local alignments start anywhere, anchored ones at the first word of both.
     """
-    n, m = len(item), len(text)
-    grid = np.zeros((n + 1, m + 1), np.int32)
-    ramp = np.arange(m + 1, dtype=np.int32) * -GAP
-    for i in range(n):
-        step = np.where(text == item[i], MATCH, MISMATCH)
-        row = grid[i + 1]
-        np.maximum(grid[i, :-1] + step, grid[i, 1:] + GAP, out=row[1:])
-        np.maximum(row, 0, out=row)
+    match, other = (rule[0] << 32) + 1, rule[1] << 32
+    ramp = np.arange(len(text) + 1, dtype=np.int64) * -other
+    row = -ramp if anchored else np.zeros(len(text) + 1, np.int64)
+    best, at = 0, (0, 0)
+    for i, word in enumerate(item.tolist()):
+        step = np.where(text == word, match, other)
+        step += row[:-1]
+        row = row + other
+        np.maximum(row[1:], step, out=row[1:])
+        if not anchored:
+            np.maximum(row, 0, out=row)
         row += ramp
         np.maximum.accumulate(row, out=row)
         row -= ramp
-    i, j = np.unravel_index(int(grid.argmax()), grid.shape)
-    score, end, matches = int(grid[i, j]), int(j), 0
-    while i and j and grid[i, j]:
-        same = item[i - 1] == text[j - 1]
-        if grid[i, j] == grid[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            matches += int(same)
-            i, j = i - 1, j - 1
-        elif grid[i, j] == grid[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return matches, score, int(j), end
+        j = int(row.argmax())
+        if row[j] > best:
+            best, at = int(row[j]), (i + 1, j)
+    return best >> 32, best & 0xFFFFFFFF, *at
+
+
+def align(item: np.ndarray, text: np.ndarray, rule: tuple[int, int] = LOOSE) -> tuple[int, int, int, int, int, int]:
+    """Best local alignment of two word arrays: (matches, score, start and end in `item`, start and end in `text`).
+
+    Unknown words, number 0 of `text`, match nothing.
+    """
+    score, matches, i, j = _cells(item, text, rule, False)
+    _, _, back, over = _cells(item[:i][::-1], text[:j][::-1], rule, True)
+    return matches, score, i - back, i, j - over, j
+
+
+def copied(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int, int, int] | None:
+    """(similarity, matches, score, start, end in `text`) if the text holds a copy of the item, else None."""
+    n, (a, b) = len(item), SIMILAR
+    matches, score, _, _, start, end = align(item, text)
+    if b * matches >= a * n:
+        return matches / n, matches, score, start, end
+    if b * matches < a * least_span(n):
+        return None
+    matches, score, first, last, start, end = align(item, text, TIGHT)
+    edits = (TIGHT[0] * matches - score) // -TIGHT[1]
+    if last - first >= least_span(n) and b * matches >= a * (matches + edits):
+        return matches / (matches + edits), matches, score, start, end
+    return None
+
+
+def _windows(items: Items, places: np.ndarray, seeds: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int, int]]:
+    """(item, start, end) of word ranges where an item from `low` to `high` shows the open seeds of a copy.
+
+    Ranges of one item are disjoint and rise; `places` are those of one or more texts, far enough apart.
+    """
+    fan = items.first[seeds + 1] - items.first[seeds]
+    keys, size, base = [], int(places.max(initial=0)) + 1, int(items.sizes.max(initial=0))
+    size += base
+    at = 0
+    for stop in _cuts(fan):
+        f = fan[at:stop]
+        entry = np.repeat(items.first[seeds[at:stop]] - (np.cumsum(f) - f), f) + np.arange(f.sum())
+        owner = items.owner[entry]
+        own = (owner >= low) & (owner < high)
+        diagonal = np.repeat(places[at:stop], f)[own] - items.place[entry[own]] + base
+        keys.append(owner[own] * size + diagonal)
+        at = stop
+    key = np.sort(np.concatenate([*keys, np.empty(0, np.int64)]))
+    item, diagonal = key // size, key % size
+    ahead = np.arange(len(key)) + items.least[item] - 1
+    good = np.flatnonzero(ahead < len(key))
+    ahead = ahead[good]
+    good, ahead = (x[(item[ahead] == item[good]) & (diagonal[ahead] - diagonal[good] <= items.far[item[good]])] for x in (good, ahead))
+    last = (-1, 0, 0)
+    for k, a, b in zip(item[good].tolist(), (diagonal[good] - base).tolist(), (diagonal[ahead] - base).tolist(), strict=True):
+        a, b = a - int(items.far[k]), b + int(items.sizes[k] + items.far[k])
+        if k == last[0] and a <= last[2]:
+            last = (k, last[1], max(last[2], b))
+            continue
+        if last[0] >= 0:
+            yield last
+        last = (k, a, b)
+    if last[0] >= 0:
+        yield last
+
+
+def _cuts(fan: np.ndarray) -> Iterator[int]:
+    """Ends of runs of hits with about ENTRIES entries each."""
+    total = np.cumsum(fan)
+    at = 0
+    while at < len(fan):
+        at = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + ENTRIES, "right")))
+        yield at
+
+
+def _leaks(items: Items, texts: pa.Array) -> Iterator[tuple[int, int, tuple[float, int, int, int, int]]]:
+    """(row, item, what `copied` returns) of all copies in an array of texts; the most similar of an item's, then the first."""
+    for first, part in _pieces(texts):
+        numbers, starts = items.numbers(part)
+        places, seeds = items.hits(numbers)
+        order = np.argsort(places, kind="stable")
+        places, seeds = places[order], seeds[order]
+        row = np.searchsorted(starts, places, "right") - 1
+        fan = items.first[seeds + 1] - items.first[seeds]
+        heavy = np.bincount(row, fan, minlength=len(part))
+        ends = np.searchsorted(row, np.arange(len(part) + 1))
+        for r in np.flatnonzero(heavy).tolist():
+            mine = slice(ends[r], ends[r + 1])
+            text = numbers[starts[r] : starts[r + 1] - 1]
+            # a text with very many entries takes the items in parts, so memory stays bounded
+            parts = np.linspace(0, len(items.ids), int(heavy[r] // ENTRIES) + 2).astype(np.int64)
+            best: dict[int, tuple] = {}
+            for low, high in zip(parts, parts[1:], strict=False):
+                for k, a, b in _windows(items, places[mine] - starts[r], seeds[mine], low, high):
+                    a, window = max(a, 0), text[max(a, 0) : b]
+                    if SIMILAR[1] * items.common(k, window) < SIMILAR[0] * least_span(int(items.sizes[k])):
+                        continue
+                    found = copied(items.words[k], window)
+                    if found and (k not in best or found[0] > best[k][0]):
+                        best[k] = (*found[:3], a + found[3], a + found[4])
+            yield from ((first + r, k, found) for k, found in best.items())
 
 
 LEAK_SCHEMA = "doc_id long, item_id long, similarity double, matches int, item_words int, score int, start_word int, end_word int"
 
 
-def _align(items: Items, rare: np.ndarray, threshold: float):
-    """Rows of _FOUND to leaks; `rare` says for each (seed, item) entry whether it opens alignments."""
+def _find(items: Items):
     names = [c.split()[0] for c in LEAK_SCHEMA.split(", ")]
     kinds = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]] for c in LEAK_SCHEMA.split(", ")]
 
-    def opens(seed: int, item: int) -> bool:
-        own = slice(items.first[seed], items.first[seed + 1])
-        return bool(rare[own][items.owner[own] == item].any())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for row in batch.to_pylist():
-                k = row["item"]
-                good = {s for s in set(row["seeds"]) if opens(s, k)}
-                places = np.array([p for p, s in zip(row["places"], row["seeds"], strict=True) if s in good])
-                if not len(places):
-                    continue
-                window = np.frombuffer(row["window"], "<u4").astype(np.int64)
-                item, best, at = items.words[k], None, 0
-                for base, size in zip(row["base"], row["sizes"], strict=True):
-                    text = window[at : at + size]
-                    at += size
-                    inside = places[(places >= base) & (places < base + size)] - base
-                    for a, b in _windows(inside, _reach(len(item)), size):
-                        matches, score, start, end = align(item, text[a:b])
-                        if best is None or (matches, score) > best[:2]:
-                            best = (matches, score, base + a + start, base + a + end)
-                if best and best[0] >= threshold * len(item):
-                    rows.append((row["doc_id"], items.ids[k], best[0] / len(item), best[0], len(item), *best[1:]))
+            for r, k, (similarity, matches, *rest) in _leaks(items, batch.column(1)):
+                rows.append((batch.column(0)[r].as_py(), items.ids[k], similarity, matches, len(items.words[k]), *rest))
             columns = list(zip(*rows, strict=True)) or [[] for _ in names]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
 
-def rare_entries(items: Items, frequency: dict[int, int], factor: int = RARE) -> np.ndarray:
-    """For each (seed, item) entry: is the seed at most `factor` times as frequent as the item's median seed?"""
-    df = np.array([frequency.get(s, 0) for s in range(len(items.seeds))], np.int64)
-    of_entry = np.repeat(df, np.diff(items.first))
-    rare = np.ones(len(of_entry), bool)
-    order = np.argsort(items.owner, kind="stable")
-    cuts = np.searchsorted(items.owner[order], np.arange(len(items.ids) + 1))
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        own = order[a:b]
-        if len(own):
-            rare[own] = of_entry[own] <= factor * max(1, int(np.median(of_entry[own])))
-    return rare
+def _clean(items: Items):
+    """The rows of (text, row) without a copy of any item, as the columns of the struct `row`."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[r for r, _, _ in _leaks(items, batch.column(0))]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
 
-def _item_blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[int | None, str | None]]]:
-    block: list = []
+
+def _blocks(benchmark: DataFrame, most: int) -> Iterator[Items]:
+    """The items with SEED words or more, at most `most` and about BLOCK_WORDS words at a time."""
+    block, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text")
-    for row in rows.toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == size:
-            yield block
-            block = []
+    for item_id, text in rows.toLocalIterator():
+        n = len(words(text))
+        if n < SEED:
+            continue
+        block.append((item_id, text))
+        size += n
+        if len(block) == most or size >= BLOCK_WORDS:
+            yield Items(block)
+            block, size = [], 0
     if block:
-        yield block
+        yield Items(block)
+
+
+def _weighed(items: Items, texts: DataFrame) -> Items:
+    """The block with its frequent seeds closed by their document frequency among all texts."""
+    counts = texts.mapInArrow(_count(items), "seed int, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    frequency = np.zeros(len(items.seeds), np.int64)
+    for seed, n in counts.collect():  # one row a seed of this block at most
+        frequency[seed] = n
+    items.close(frequency)
+    return items
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row for each document row and item of which it holds a copy, see LEAK_SCHEMA.
 
     similarity is the share of the item's words that the document's best alignment
-    matches, after lower-casing and without punctuation; start_word and end_word bound
-    it. Null texts and items have no words; items under SEED words are never found.
+    matches, after lower-casing and without punctuation, or, where only a passage of the
+    item is there, the share of that alignment's columns; start_word and end_word bound
+    it. A text with several copies of one item gives one row. Null texts and items have no
+    words; items under SEED words are too common to be evidence and are never found.
     Repeated rows and items give repeated rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
+    out = docs.sparkSession.createDataFrame([], LEAK_SCHEMA)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = spark.createDataFrame([], LEAK_SCHEMA)
-    for block in _item_blocks(benchmark, block_items):
-        items = Items(block)
-        found = staged(plain.mapInArrow(_find(items), _FOUND), "leak-candidates")
-        # one row a seed of this block at most
-        seen = found.select(F.explode(F.array_distinct("seeds")).alias("seed"), "doc_id", "item").groupBy("seed", "item")
-        per_item = seen.agg(F.count(F.lit(1)).alias("n")).groupBy("seed").agg(F.max("n").alias("n")).collect()
-        rare = rare_entries(items, {r["seed"]: r["n"] for r in per_item})
-        out = out.unionByName(found.mapInArrow(_align(items, rare, threshold), LEAK_SCHEMA))
+    for items in _blocks(benchmark, block_items):
+        out = out.unionByName(plain.mapInArrow(_find(_weighed(items, plain.select("text"))), LEAK_SCHEMA))
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a copy of any item, with all their columns.
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows without a copy of any item, with all their columns, whatever these are called.
 
-    Needs doc_id not null to drop a document; rows of a shared doc_id go together.
+    Every row is judged by its own text, so rows of one doc_id, or of none, go or stay each
+    on its own. Nothing is shuffled: a pass hands on the rows that it keeps.
     """
-    leaky = find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leaky")).distinct()
-    return docs.join(leaky.hint("shuffle_hash"), F.col("doc_id") == F.col("_leaky"), "left_anti")
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    schema = rows.schema
+    for turn, items in enumerate(_blocks(benchmark, block_items)):
+        if turn:
+            rows = staged(rows, "leak-free")
+        rows = rows.mapInArrow(_clean(_weighed(items, docs.select(F.col("text").cast("string").alias("text")))), schema)
+    return rows.select("row.*")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
