@@ -18,12 +18,17 @@ MIN_LENGTH. The borders it did not find separate suffixes that share 100 bytes.
 
 A map task keeps only its first occurrence of each segment, so a passage in a third of
 all documents costs one entry a task; buckets follow the number of bytes.
+
+A minimizer inside boilerplate may have as many different segments as there are
+documents. Such heavy minimizers are told by a sample of the texts, which decides where
+things are compared and nothing else: their segments are dealt to buckets one by one,
+and the strings of those segments meet by their 128-bit hash in an aggregation with
+partial sums, so no bucket holds a heavy minimizer.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +49,9 @@ FLUSH = 400_000
 BUCKET_ENTRIES = 300_000
 BUCKET_BYTES = 700_000
 NO_ID = -(1 << 63)
-COVER, NEED = 0, 1
+COVER, NEED, HEAVY = 0, 1, 2
+#: One text of SAMPLE tells heavy minimizers, those with SAMPLED different segments in it: about a bucket full; the most that every task is told.
+SAMPLE, SAMPLED, MOST_HEAVY = 32, 128, 500_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.frombuffer(hashlib.shake_256(b"bytes").digest(256 * 8), "<u8").copy()
@@ -113,7 +120,7 @@ def minimizers(items: list[tuple[bytes, int, int, int]], length: int = MIN_LENGT
     segment = _scramble(segment + left.astype(np.uint64) * np.uint64(0x9E37) + right.astype(np.uint64) * np.uint64(0xABCD1))
     place = at - begins[item] + np.array([x[1] for x in items])[item]
     # a minimizer's hash is a small number; scrambled again it spreads over the buckets
-    return item, place, _scramble(grams[at]) >> np.uint64(16), segment >> np.uint64(16)
+    return item, place, _scramble(grams[at]) >> np.uint64(16), segment
 
 
 def slices(data: bytes, length: int = MIN_LENGTH, size: int = CHUNK) -> Iterator[tuple[bytes, int, int, int]]:
@@ -130,7 +137,8 @@ def _bytes(text: str | None) -> bytes:
 
 
 def _text_hash(data: bytes) -> int:
-    return struct.unpack("<q", xxhash.xxh64_digest(data))[0]
+    """As Spark's xxhash64 of the text."""
+    return int(np.uint64(xxhash.xxh64_intdigest(data, 42)).view(np.int64))
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -150,6 +158,12 @@ def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _is_heavy(keys: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    if not len(heavy):
+        return np.zeros(len(keys), bool)
+    return heavy[np.minimum(np.searchsorted(heavy, keys), len(heavy) - 1)] == keys
+
+
 def _firsts(h, s, doc, text, at):
     """Order of entries by (h, s, document, place) and marks: first of a segment, repeat of one elsewhere."""
     order = np.lexsort((at, text, doc, s, h))
@@ -191,8 +205,11 @@ _FOUND_ARROW = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("text_hash
 FOUND_SCHEMA = "kind int, doc long, text_hash long, data binary"
 
 
-def _report(buckets: int):
-    """Map side: minimizers of every document, first of each segment by bucket, covers of the others."""
+def _report(buckets: int, heavy: np.ndarray):
+    """Map side: minimizers of every document, first of each segment by bucket, covers of the others.
+
+    The bucket is that of the minimizer, for heavy ones that of minimizer and segment.
+    """
 
     def flush(parts: list, docs: list[tuple[int, int, int]]):
         owner, place, h, s = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -205,7 +222,10 @@ def _report(buckets: int):
         for k, row in enumerate(covers):
             yield {"bucket": k % buckets, "doc": row["doc"], "text_hash": row["text_hash"], "data": row["data"]}
         keep = order[first]
-        b = _bucket_of(h[keep], buckets)
+        alone = _scramble(h[keep] ^ s[keep]) >> np.uint64(16)
+        b = _bucket_of(np.where(_is_heavy(h[keep], heavy), alone, h[keep]), buckets)
+        by_bucket = np.argsort(b, kind="stable")
+        keep, b = keep[by_bucket], b[by_bucket]
         for k in np.unique(b):
             low, high = np.searchsorted(b, [k, k + 1])
             own = keep[low:high]
@@ -269,37 +289,98 @@ def _report(buckets: int):
     return run
 
 
-def _compare(group: pa.Table) -> pa.Table:
-    """Bucket side: covers of repeated segments, and needs: segments whose minimizer has others too."""
-    out = []
-    parts = []
-    for batch in group.to_batches():
-        for row in batch.to_pylist():
-            if row["data"] is not None:
-                out.append({"kind": COVER, "doc": row["doc"], "text_hash": row["text_hash"], "data": row["data"]})
-                continue
-            h = np.cumsum(_unpack(row["keys"], "<u8"), dtype=np.uint64)
-            docs = np.frombuffer(row["docs"], "<i8").reshape(-1, 3)[_unpack(row["owner"], "<u4")]
-            parts.append((h, _unpack(row["segments"], "<u8"), docs[:, 0], docs[:, 1], _unpack(row["place"], "<i8"), docs[:, 2]))
-    if parts:
-        h, s, doc, text, at, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order, first, elsewhere = _firsts(h, s, doc, text, at)
-        again = order[~first & elsewhere]
-        out += _spans(
-            doc[again], text[again], np.maximum(at[again] - (MIN_LENGTH - K), 0), np.minimum(size, at + MIN_LENGTH)[again]
-        )
-        lead = order[first]
-        same = h[lead][1:] == h[lead][:-1]
-        several = lead[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-        if len(several):
-            by = several[np.lexsort((at[several], text[several], doc[several]))]
-            d, t = doc[by], text[by]
-            cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]))
-            for low, high in zip(cut, [*cut[1:], len(by)], strict=True):
-                pairs = np.column_stack([at[by[low:high]], h[by[low:high]].astype(np.int64)])
-                out.append({"kind": NEED, "doc": int(d[low]), "text_hash": int(t[low]), "data": pairs.astype("<i8").tobytes()})
-    return pa.Table.from_pylist(out, _FOUND_ARROW)
+def _compare(heavy: np.ndarray):
+    """Bucket side: covers of repeated segments; needs, segments whose minimizer has others too or is heavy."""
+
+    def run(group: pa.Table) -> pa.Table:
+        out = []
+        parts = []
+        for batch in group.to_batches():
+            for row in batch.to_pylist():
+                if row["data"] is not None:
+                    out.append({"kind": COVER, "doc": row["doc"], "text_hash": row["text_hash"], "data": row["data"]})
+                    continue
+                h = np.cumsum(_unpack(row["keys"], "<u8"), dtype=np.uint64)
+                docs = np.frombuffer(row["docs"], "<i8").reshape(-1, 3)[_unpack(row["owner"], "<u4")]
+                parts.append((h, _unpack(row["segments"], "<u8"), docs[:, 0], docs[:, 1], _unpack(row["place"], "<i8"), docs[:, 2]))
+        if parts:
+            h, s, doc, text, at, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
+            order, first, elsewhere = _firsts(h, s, doc, text, at)
+            again = order[~first & elsewhere]
+            out += _spans(
+                doc[again], text[again], np.maximum(at[again] - (MIN_LENGTH - K), 0), np.minimum(size, at + MIN_LENGTH)[again]
+            )
+            lead = order[first]
+            same = h[lead][1:] == h[lead][:-1]
+            hot = _is_heavy(h[lead], heavy)
+            several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            for kind, own in ((NEED, lead[several & ~hot]), (HEAVY, lead[hot])):
+                if not len(own):
+                    continue
+                by = own[np.lexsort((at[own], text[own], doc[own]))]
+                d, t = doc[by], text[by]
+                cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]))
+                for low, high in zip(cut, [*cut[1:], len(by)], strict=True):
+                    pairs = np.column_stack([at[by[low:high]], h[by[low:high]].astype(np.int64)])
+                    out.append({"kind": kind, "doc": int(d[low]), "text_hash": int(t[low]), "data": pairs.astype("<i8").tobytes()})
+        return pa.Table.from_pylist(out, _FOUND_ARROW)
+
+    return run
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, s) of the segments of texts."""
+    for batch in batches:
+        for text in batch.column(0):
+            for item in slices(_bytes(text.as_py())):
+                _, _, h, s = minimizers([item])
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(s.view(np.int64))], names=["h", "s"])
+
+
+def heavy_minimizers(texts: DataFrame) -> np.ndarray:
+    """Rising keys of the minimizers with very many different segments, judged by a sample of the texts."""
+    sample = texts.where((F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0) & (F.octet_length("text") >= MIN_LENGTH))
+    counts = sample.mapInArrow(_sampled, "h long, s long").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.where(F.col("n") >= SAMPLED).orderBy(F.desc("n"), "h").limit(MOST_HEAVY).select("h").toPandas()["h"]
+    return np.sort(most.to_numpy(np.int64).view(np.uint64))
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with heavy needs to (k1, k2, doc, text_hash, at): the hash of every string around a heavy minimizer."""
+    for batch in batches:
+        for doc, text_hash, text, needs in zip(*batch.columns, strict=True):
+            data = _bytes(text.as_py())
+            places = np.unique(np.frombuffer(b"".join(needs.as_py()), "<i8").reshape(-1, 2)[:, 0])
+            starts = np.unique(places[:, None] - np.arange(MIN_LENGTH - K + 1))
+            starts = starts[(starts >= 0) & (starts + MIN_LENGTH <= len(data))]
+            keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[a : a + MIN_LENGTH]) for a in starts.tolist()), "<i8").reshape(-1, 2)
+            n = len(starts)
+            yield pa.record_batch(
+                [
+                    pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([doc.as_py()] * n, pa.int64()),
+                    pa.array([text_hash.as_py()] * n, pa.int64()), pa.array(starts, pa.int64()),
+                ],
+                names=["k1", "k2", "doc", "text_hash", "at"],
+            )
+
+
+def _cover_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, text_hash, starts of repeated strings) to cover rows."""
+    for batch in batches:
+        out = []
+        for doc, text_hash, starts in zip(*batch.columns, strict=True):
+            a = np.array(starts.as_py(), np.int64)
+            out.append({"kind": COVER, "doc": doc.as_py(), "text_hash": text_hash.as_py(), "data": merge_spans(a, a + MIN_LENGTH).astype("<i8").tobytes()})
+        yield pa.RecordBatch.from_pylist(out, _FOUND_ARROW)
+
+
+def heavy_covers(texts: DataFrame) -> DataFrame:
+    """Cover rows of (doc, text_hash, text, needs): strings around heavy minimizers that also start earlier."""
+    strings = staged(texts.mapInArrow(_strings, "k1 long, k2 long, doc long, text_hash long, at long"), "suffix-strings")
+    firsts = strings.groupBy("k1", "k2").agg(F.min(F.struct("doc", "text_hash", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
+    later = strings.join(firsts.where("n > 1"), ["k1", "k2"]).where(F.struct("doc", "text_hash", "at") > F.col("first"))
+    return later.groupBy("doc", "text_hash").agg(F.collect_list("at").alias("starts")).mapInArrow(_cover_strings, FOUND_SCHEMA)
 
 
 SEGMENT_SCHEMA = "bucket int, doc long, text_hash long, starts binary, sizes binary, body binary"
@@ -316,8 +397,6 @@ def _cut_segments(buckets: int):
             out = []
             for doc, text_hash, text, needs in zip(*batch.columns, strict=True):
                 data = _bytes(text.as_py())
-                if _text_hash(data) != text_hash.as_py():
-                    continue  # another text of this doc_id
                 pairs = np.frombuffer(b"".join(needs.as_py()), "<i8").reshape(-1, 2)
                 b = _bucket_of(pairs[:, 1].astype(np.uint64), buckets)
                 for k in np.unique(b):
@@ -457,8 +536,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc_id, text, covers in zip(*batch.columns, strict=True):
             data = _bytes(text.as_py())
-            own = _text_hash(data)
-            found = [np.frombuffer(c["data"], "<i8").reshape(-1, 2) for c in covers.as_py() or () if c["text_hash"] == own]
+            found = [np.frombuffer(c, "<i8").reshape(-1, 2) for c in covers.as_py() or ()]
             kept, removed, spans = data, 0, ()
             if found:
                 both = np.concatenate(found)
@@ -482,34 +560,38 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = plain.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "doc_id", "text")
+    # a text is found again by doc_id and hash, so rows without doc_id meet as little as others
+    keyed = plain.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "doc_id", "text")
     size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(4, -(-size * 2 // (MIN_LENGTH - K + 2) // BUCKET_ENTRIES))
-    reported = plain.mapInArrow(_report(buckets), ENTRY_SCHEMA)
-    found = staged(reported.groupBy("bucket").applyInArrow(_compare, FOUND_SCHEMA), "suffix-found")
+    heavy = heavy_minimizers(plain.select("text"))
+    free_shuffles(spark)
+    reported = plain.mapInArrow(_report(buckets, heavy), ENTRY_SCHEMA)
+    found = staged(reported.groupBy("bucket").applyInArrow(_compare(heavy), FOUND_SCHEMA), "suffix-found")
     del reported
     free_shuffles(spark)
-    needs = found.where(F.col("kind") == NEED)
-    need_bytes = needs.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0] // 16 * (2 * MIN_LENGTH - K)
-    parts = max(4, -(-need_bytes // BUCKET_BYTES))
-    wanted = needs.groupBy("doc", "text_hash").agg(F.collect_list("data").alias("needs"))
-    segments = (
-        keyed.select("doc", "text")
-        .join(wanted, "doc")
-        .select("doc", "text_hash", "text", "needs")
-        .mapInArrow(_cut_segments(parts), SEGMENT_SCHEMA)
+
+    def wanted(kind: int) -> DataFrame:
+        needs = found.where(F.col("kind") == kind).groupBy("doc", "text_hash").agg(F.collect_list("data").alias("needs"))
+        texts = keyed.select("doc", "text_hash", "text").join(needs, ["doc", "text_hash"])
+        # repeated rows are one text
+        return texts.groupBy("doc", "text_hash").agg(F.first("text").alias("text"), F.first("needs").alias("needs"))
+
+    need_bytes = (
+        found.where(F.col("kind") == NEED).agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0] // 16 * (2 * MIN_LENGTH - K)
     )
+    parts = max(4, -(-need_bytes // BUCKET_BYTES))
+    segments = wanted(NEED).mapInArrow(_cut_segments(parts), SEGMENT_SCHEMA)
     expanded = staged(segments.groupBy("bucket").applyInArrow(_expand, FOUND_SCHEMA), "suffix-expanded")
     del segments
     free_shuffles(spark)
-    covers = (
-        found.where(F.col("kind") == COVER)
-        .unionByName(expanded)
-        .groupBy("doc")
-        .agg(F.collect_list(F.struct("text_hash", "data")).alias("covers"))
-    )
+    all_covers = found.where(F.col("kind") == COVER).unionByName(expanded)
+    if len(heavy):
+        all_covers = all_covers.unionByName(staged(heavy_covers(wanted(HEAVY)), "suffix-heavy"))
+        free_shuffles(spark)
+    covers = all_covers.groupBy("doc", "text_hash").agg(F.collect_list("data").alias("covers"))
     return (
-        keyed.join(covers, "doc", "left")
+        keyed.join(covers, ["doc", "text_hash"], "left")
         .select("doc_id", "text", "covers")
         .mapInArrow(
             _cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from linkgrove.llm import suffixdedup as sd
 
 
@@ -36,16 +38,24 @@ def result(frame):
     return sorted(map(tuple, sd.remove_repeats(frame).drop("kept").collect()), key=str)
 
 
-def test_documents(small, small_rows):
+@pytest.fixture(params=["as it is", "many heavy minimizers"])
+def weights(request, monkeypatch):
+    """With the second, minimizers of two different segments count as heavy."""
+    if request.param != "as it is":
+        monkeypatch.setattr(sd, "SAMPLE", 1)
+        monkeypatch.setattr(sd, "SAMPLED", 2)
+
+
+def test_documents(small, small_rows, weights):
     assert result(small) == brute(small_rows)
 
 
-def test_odd_rows(odd, odd_rows, none):
+def test_odd_rows(odd, odd_rows, none, weights):
     assert result(odd) == brute([r[:2] for r in odd_rows])
     assert result(none) == []
 
 
-def test_edited_copies(spark):
+def test_edited_copies(spark, weights):
     rng = random.Random(5)
     base = ["".join(rng.choice("abcdé \n") for _ in range(900)) for _ in range(4)]
     rows = []
@@ -59,6 +69,41 @@ def test_edited_copies(spark):
     assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
 
 
+def test_boilerplate_fills_no_bucket(spark):
+    """One license line of 83 bytes in 20,000 otherwise different texts: its segments are spread over the buckets."""
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    line = letters(83)
+    texts = [letters(60) + line + letters(60) for _ in range(20000)]
+    heavy = sd.heavy_minimizers(spark.createDataFrame([(t,) for t in texts], "text string").repartition(8))
+    assert len(heavy)
+
+    def largest(heavy):
+        batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+        sizes = {}
+        for out in sd._report(64, heavy)(iter([batch])):
+            for row in out.to_pylist():
+                if row["data"] is None:
+                    sizes[row["bucket"]] = sizes.get(row["bucket"], 0) + len(sd._unpack(row["segments"], "<u8"))
+        return max(sizes.values()) - sum(sizes.values()) / 64
+
+    bound = 1.5 * sd.SAMPLE * sd.SAMPLED  # segments that one minimizer may have without counting as heavy
+    assert largest(heavy[:0]) > 2 * bound and largest(heavy) < bound
+
+
+def test_rows_without_id(spark):
+    """Texts without doc_id are apart from each other, in the order of their hashes."""
+    rng = random.Random(9)
+    shared = "".join(rng.choices("abcdefgh ", k=150))
+    rows = [(None, "".join(rng.choices("xyz ", k=40)) + shared) for _ in range(12)] + [(None, shared), (None, shared), (4, shared)]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_text_hash_is_that_of_the_engine(spark, odd):
+    for text, h in odd.selectExpr("coalesce(text, '')", "xxhash64(coalesce(text, ''))").collect():
+        assert sd._text_hash(text.encode()) == h
+
+
 def test_slices_of_long_texts(monkeypatch):
     rng = random.Random(2)
     data = bytes(rng.choice(b"abc") for _ in range(3000))
