@@ -8,8 +8,11 @@ A minimum spanning forest of the pairs, by (index, i, j), keeps all of this in a
 n - 1 pairs, and the forest of two forests' union is that of all their pairs. So every
 partition reduces its own pairs first (partial aggregation), partial forests are merged
 in rounds by hash of the subset and a shrinking number of parts, and what is left is
-swept once. When the forest is over FOREST_PAIRS the sweep runs as DataFrame steps,
-one contraction for each threshold, and no task holds it.
+swept once; the sweep hands out how long each object kept which label, and built-in
+expressions write the rows of every threshold, so a task holds objects, never objects
+times thresholds. Over FOREST_PAIRS objects the sweep runs as DataFrame steps, one
+contraction for each threshold that has pairs, and a dendrogram is built from runs of
+FOREST_PAIRS merges; no task holds the whole forest then.
 """
 
 from __future__ import annotations
@@ -18,16 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkgrove.config import ClusterMethod, Parallelism, Thresholds
 from linkgrove.functions.thresholds import threshold_at, threshold_index, with_thresholds
 from linkgrove.operators.components import components
+from linkgrove.sources.sequences import with_index
 from linkgrove.storage import staged, unstage
 
-#: Forest pairs of one subset that one task may hold: about 100 MB.
-FOREST_PAIRS = 2_000_000
+#: Objects, and so forest pairs, of one subset that one task may hold: about 200 MB.
+FOREST_PAIRS = 1_000_000
 #: Pairs that a partial reduction gathers before it reduces them.
 GATHER = 500_000
 #: Partial forests that one merge task takes in.
@@ -141,91 +145,94 @@ def merge_forests(*forests: DataFrame) -> DataFrame:
     return forest(out)
 
 
-def sweep(i: np.ndarray, j: np.ndarray, t: np.ndarray, objects: np.ndarray, count: int) -> np.ndarray:
-    """(count x objects) least reachable member for each threshold index; objects rise."""
+def sweep(
+    i: np.ndarray, j: np.ndarray, t: np.ndarray, objects: np.ndarray, count: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
+    """(places, first, last, labels): objects that had these least reachable members from index first to last.
+
+    Given out as labels change, so what is held is in proportion to the objects, which rise.
+    """
     order = np.argsort(t, kind="stable")
-    a, b = np.searchsorted(objects, i).tolist(), np.searchsorted(objects, j).tolist()
+    a, b = np.searchsorted(objects, i)[order], np.searchsorted(objects, j)[order]
+    ends = np.searchsorted(t[order], np.arange(count), "right").tolist()
     f = Forest(len(objects))
-    out = np.empty((count, len(objects)), np.int64)
-    at = 0
     label = np.arange(len(objects))
-    for k in range(count):
-        changed = False
-        while at < len(order) and t[order[at]] <= k:
-            changed |= f.join(a[order[at]], b[order[at]])
-            at += 1
-        if changed:
-            label = np.array(f.parent)
-            while True:  # roots are least members, so jumping only falls
-                up = label[label]
-                if (up == label).all():
-                    break
-                label = up
-        out[k] = objects[label]
-    return out
+    since = np.zeros(len(objects), np.int32)
+    at = 0
+    for k, end in enumerate(ends):
+        if end == at:
+            continue
+        for x, y in zip(a[at:end].tolist(), b[at:end].tolist(), strict=True):
+            f.join(x, y)
+        at = end
+        now = np.array(f.parent)
+        while True:  # roots are least members, so jumping only falls
+            up = now[now]
+            if (up == now).all():
+                break
+            now = up
+        places = np.flatnonzero(now != label)
+        if k:
+            yield places, since[places], k - 1, objects[label[places]]
+        since[places] = k
+        label = now
+    yield np.arange(len(objects)), since, count - 1, objects[label]
 
 
-_CLUSTERS = "subset long, t_idx int, obj long, cluster long"
+_RUNS = "subset long, first int, last int, obj long, cluster long"
 
 
 def _sweep_group(count: int):
     """Sweep of one subset: rows of objects (t is null) and forest pairs."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
         subset = table.column("subset")[0].as_py()
         i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
         is_object = table.column("t").is_null().to_numpy(zero_copy_only=False)
         t = table.column("t").fill_null(0).to_numpy()
         objects = np.unique(i[is_object])
-        labels = sweep(i[~is_object], j[~is_object], t[~is_object], objects, count)
-        n = len(objects)
-        return pa.table({
-            "subset": pa.array(np.full(count * n, subset), pa.int64()),
-            "t_idx": pa.array(np.repeat(np.arange(count, dtype=np.int32), n)),
-            "obj": pa.array(np.tile(objects, count)),
-            "cluster": pa.array(labels.reshape(-1)),
-        })
+        del table
+        for places, first, last, labels in sweep(i[~is_object], j[~is_object], t[~is_object], objects, count):
+            n = len(places)
+            yield pa.record_batch({
+                "subset": pa.array(np.full(n, subset), pa.int64()), "first": pa.array(first, pa.int32()),
+                "last": pa.array(np.full(n, last, np.int32)), "obj": pa.array(objects[places], pa.int64()), "cluster": pa.array(labels, pa.int64()),
+            })
 
     return run
 
 
+def _each_threshold(runs: DataFrame) -> DataFrame:
+    return runs.select("subset", F.explode(F.sequence("first", "last")).alias("t_idx"), "obj", "cluster")
+
+
 def sweep_frames(pairs: DataFrame, objects: DataFrame, count: int) -> DataFrame:
-    """The same sweep with no task that holds a forest: one contraction for each threshold.
+    """The same sweep with no task that holds a forest: one contraction for each threshold that has pairs.
 
-    Subsets are told apart by numbering their members; labels of a threshold are the
-    nodes of the next.
+    Every member of a subset gets a number of its own; components of numbers are found,
+    and a component's label is its least object, whatever the ids and subsets are.
     """
     from functools import reduce
 
-    keyed = staged(
-        objects.select("subset", F.col("obj").alias("i"), F.struct("subset", "obj").alias("node")).withColumn(
-            "cluster", F.col("i")
-        ),
-        "sweep-labels",
+    labels = staged(
+        objects.select("subset", "obj", F.monotonically_increasing_id().alias("node"), F.col("obj").alias("cluster")), "sweep-labels"
     )
-    out = []
-    labels = keyed.select("subset", F.col("i").alias("obj"), "cluster")
-    for k in range(count):
-        own = pairs.where(F.col("t") == k)
-        a = labels.select("subset", F.col("obj").alias("i"), F.col("cluster").alias("ci"))
-        b = labels.select("subset", F.col("obj").alias("j"), F.col("cluster").alias("cj"))
-        links = own.join(a, ["subset", "i"]).join(b, ["subset", "j"]).where("ci <> cj")
-        # node numbers of different subsets must differ
-        wide = links.select(_node("ci").alias("u"), _node("cj").alias("v"))
-        reach = components(wide, "sweep-links")
-        named = reach.select(F.col("node"), F.col("component").bitwiseAND(F.lit((1 << 40) - 1)).alias("low"))
-        labels = staged(
-            labels.withColumn("node", _node("cluster"))
-            .join(named, "node", "left")
-            .select("subset", "obj", F.coalesce("low", "cluster").alias("cluster")),
-            "sweep-labels",
-        )
-        out.append(labels.withColumn("t_idx", F.lit(k)).select("subset", "t_idx", "obj", "cluster"))
-    return reduce(DataFrame.unionByName, out)
-
-
-def _node(column: str) -> Column:
-    return F.col("subset") * F.lit(1 << 40) + F.col(column)
+    levels = sorted(r.t for r in pairs.select("t").distinct().collect())  # thresholds at most
+    out, since = [], 0
+    for k in levels:
+        if k > since:
+            out.append(labels.withColumn("first", F.lit(since)).withColumn("last", F.lit(k - 1)))
+        a = labels.select("subset", F.col("obj").alias("i"), F.col("node").alias("u"))
+        b = labels.select("subset", F.col("obj").alias("j"), F.col("node").alias("v"))
+        links = pairs.where(F.col("t") == k).join(a, ["subset", "i"]).join(b, ["subset", "j"]).where("u <> v").select("u", "v")
+        reach = components(links, "sweep-links")
+        moved = labels.join(reach, "node", "left").withColumn("node", F.coalesce("component", "node"))
+        least = moved.groupBy("node").agg(F.min("cluster").alias("cluster"))
+        labels = staged(moved.drop("cluster", "component").join(least, "node").select(*labels.columns), "sweep-labels")
+        since = k
+    out.append(labels.withColumn("first", F.lit(since)).withColumn("last", F.lit(count - 1)))
+    return _each_threshold(reduce(DataFrame.unionByName, out))
 
 
 def cluster(
@@ -271,7 +278,7 @@ def _swept(owned: DataFrame, tree: DataFrame | None, count: int) -> DataFrame:
     rows = owned.select("subset", F.col("obj").alias("i"), F.col("obj").alias("j"), F.lit(None).cast("int").alias("t"))
     if tree is not None:
         rows = rows.unionByName(tree)
-    return rows.groupBy("subset").applyInArrow(_sweep_group(count), _CLUSTERS)
+    return _each_threshold(rows.groupBy("subset").applyInArrow(_sweep_group(count), _RUNS))
 
 
 def labels_of(tree: DataFrame | None, objects: DataFrame, thresholds: Thresholds) -> DataFrame:
@@ -338,20 +345,84 @@ def _dendrogram(thresholds: Thresholds):
     return run
 
 
-def hclust(pairs: DataFrame, objects: DataFrame, thresholds: Thresholds) -> DataFrame:
-    """(subset, step, left, right, height): the dendrogram with heights at thresholds; the rest joins at 1.
+_STEPS = "subset long, step int, left int, right int, height double"
 
-    A dendrogram numbers steps over all objects, so one task builds it; it is for as
-    many objects as FOREST_PAIRS.
-    """
+
+def hclust(pairs: DataFrame, objects: DataFrame, thresholds: Thresholds, forest_pairs: int | None = None) -> DataFrame:
+    """(subset, step, left, right, height): the dendrogram with heights at thresholds; the rest joins at 1."""
+    most = FOREST_PAIRS if forest_pairs is None else forest_pairs
     owned = objects.select(F.lit(0).cast("long").alias("subset"), F.col("obj").cast("long").alias("obj")).distinct()
-    if owned.count() > FOREST_PAIRS:
-        raise ValueError(f"a dendrogram needs at most {FOREST_PAIRS} objects")
     tree = forest(canonical(pairs, thresholds, False))
+    if owned.count() > most:
+        return hclust_frames(tree, owned, thresholds, most)
     rows = owned.select("subset", F.col("obj").alias("i"), F.col("obj").alias("j"), F.lit(None).cast("int").alias("t"))
-    return rows.unionByName(tree).groupBy("subset").applyInArrow(
-        _dendrogram(thresholds), "subset long, step int, left int, right int, height double"
-    )
+    return rows.unionByName(tree).groupBy("subset").applyInArrow(_dendrogram(thresholds), _STEPS)
+
+
+def _merge_run(table: pa.Table) -> pa.Table:
+    """Merges of a run of forest pairs, given by their ends' clusters: (step, left, right), then (null, cluster, its cluster after)."""
+    rank, a, b = (table.column(c).to_numpy() for c in ("rank", "a", "b"))
+    order = np.argsort(rank)
+    sides, at = np.unique(np.concatenate([a[order], b[order]]), return_inverse=True)
+    f, now = Forest(len(sides)), sides.tolist()
+    steps, left, right = [], [], []
+    for step, x, y in zip((rank[order] + 1).tolist(), at[: len(order)].tolist(), at[len(order) :].tolist(), strict=True):
+        x, y = f.root(x), f.root(y)
+        low, high = sorted((now[x], now[y]), key=lambda s: (s > 0, abs(s)))
+        f.join(x, y)
+        now[min(x, y)] = step
+        steps.append(step)
+        left.append(low)
+        right.append(high)
+    after = [now[f.root(k)] for k in range(len(sides))]
+    return pa.table({
+        "step": pa.array([*steps, *[None] * len(sides)], pa.int64()), "left": pa.array([*left, *sides.tolist()], pa.int64()),
+        "right": pa.array([*right, *after], pa.int64()),
+    })
+
+
+def hclust_frames(tree: DataFrame, objects: DataFrame, thresholds: Thresholds, most: int) -> DataFrame:
+    """The same dendrogram with no task that holds more than `most` merges.
+
+    A forest pair is one merge, and its place in (t, i, j) order is its step. Runs of
+    `most` steps are merged one after another; between runs every object's cluster, a
+    leaf or the last step that it took part in, is carried in a table.
+    """
+    from functools import reduce
+
+    leaves = with_index(objects.select("obj"), ["obj"], "place")
+    labels = staged(leaves.select("obj", "place", (-(F.col("place") + 1)).alias("side")), "dendrogram-labels")
+    edges = staged(with_index(tree.select("t", "i", "j"), ["t", "i", "j"], "rank"), "dendrogram-pairs")
+    total = edges.count()
+    heights = F.array(*[F.lit(float(h)) for h in thresholds.distinct])
+    out = []
+    for low in range(0, total, most):
+        own = edges.where(F.col("rank").between(low, low + most - 1))
+        a = labels.select(F.col("obj").alias("i"), F.col("side").alias("a"))
+        b = labels.select(F.col("obj").alias("j"), F.col("side").alias("b"))
+        sided = own.join(a, "i").join(b, "j").select("rank", "a", "b")
+        merged = staged(sided.groupBy(F.lit("run")).applyInArrow(_merge_run, "step long, left long, right long"), "dendrogram-run")
+        height = own.select((F.col("rank") + 1).alias("step"), F.element_at(heights, F.col("t") + 1).alias("height"))
+        out.append(merged.where("step is not null").join(height, "step").select("step", "left", "right", "height"))
+        after = merged.where("step is null").select(F.col("left").alias("side"), F.col("right").alias("after"))
+        labels = staged(
+            labels.join(after, "side", "left").select("obj", "place", F.coalesce("after", "side").alias("side")), "dendrogram-labels"
+        )
+    # what is left joins the first cluster one after another
+    tops = labels.groupBy("side").agg(F.min("place").alias("least"))
+    numbered = staged(with_index(tops, ["least"], "k"), "dendrogram-tops")
+    first = numbered.where("k = 0").select("side").first()
+    if first is not None:
+        before = F.when(F.col("k") == 1, F.lit(first[0])).otherwise(F.col("k") - 1 + total)
+        pair = F.array_sort(F.array(F.struct((before > 0).alias("late"), F.abs(before).alias("no"), before.alias("side")),
+                                    F.struct((F.col("side") > 0).alias("late"), F.abs("side").alias("no"), F.col("side").alias("side"))))
+        rest = numbered.where("k > 0").withColumn("pair", pair)
+        out.append(rest.select(
+            (F.col("k") + total).alias("step"), F.col("pair")[0]["side"].alias("left"), F.col("pair")[1]["side"].alias("right"), F.lit(1.0).alias("height")
+        ))
+    none = objects.sparkSession.createDataFrame([], "step long, left long, right long, height double")
+    kinds = [c.split() for c in _STEPS.split(", ")]
+    return reduce(DataFrame.unionByName, out, none).withColumn("subset", F.lit(0)).select(*[F.col(c).cast(k).alias(c) for c, k in kinds])
 
 
 def leaf_order(merges: list[tuple[int, int]]) -> list[int]:
@@ -370,4 +441,4 @@ def leaf_order(merges: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-__all__ = ["cluster", "distmx_cluster", "forest", "hclust", "leaf_order", "matrix", "merge_forests", "sweep_frames", "threshold_at"]
+__all__ = ["cluster", "distmx_cluster", "forest", "hclust", "hclust_frames", "leaf_order", "matrix", "merge_forests", "sweep_frames", "threshold_at"]

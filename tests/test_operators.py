@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from linkgrove import config as cf
 from linkgrove.functions.alignment import distances
@@ -75,6 +76,54 @@ def test_no_task_needs_the_forest(spark, points):
     assert {(r.t_idx, r.obj): r.cluster for r in got.collect()} == brute(points, range(25), t.values)
 
 
+@pytest.mark.parametrize("forest_pairs", [None, 0])
+def test_wide_ids_and_subsets(spark, points, forest_pairs):
+    """Ids and subset numbers near the ends of a long give the clusters that small ones give, on either path."""
+    t = cf.threshold_set([0.2, 0.4])
+    far, part = 2**61, 2**40
+    pairs = spark.createDataFrame([(i + far, j + far, d) for i, j, d in points], "id1 long, id2 long, dist double")
+    objects = spark.range(25).select((F.col("id") + far).alias("obj"))
+    members = objects.crossJoin(spark.createDataFrame([(part,), (-part,), (3,)], "subset long")).where("subset <> 3 or obj % 2 = 0")
+    got = linkage.cluster(pairs, objects, t, members, forest_pairs=forest_pairs).collect()
+    whole = brute(points, range(25), t.values)
+    for s, own in ((part, range(25)), (-part, range(25)), (3, range(0, 25, 2))):
+        expect = whole if s != 3 else brute(points, own, t.values)
+        assert {(r.t_idx, r.obj - far): r.cluster - far for r in got if r.subset == s} == expect
+
+
+def test_sweep_hands_out_changes():
+    """With 401 thresholds a sweep gives rows for label changes, not for thresholds times objects."""
+    rng = np.random.default_rng(4)
+    n, count = 3000, 401
+    j = np.arange(1, n)
+    i = (rng.random(n - 1) * j).astype(np.int64)
+    t = rng.integers(0, count, n - 1)
+    runs = list(linkage.sweep(i, j, t, np.arange(n), count))
+    assert max(len(places) for places, *_ in runs) <= n
+    assert sum(len(places) for places, *_ in runs) < 30 * n
+    held = np.full((count, n), -1)
+    for places, first, last, labels in runs:
+        for p, a, label in zip(places.tolist(), first.tolist(), labels.tolist(), strict=True):
+            assert (held[a : last + 1, p] == -1).all()
+            held[a : last + 1, p] = label
+    for k in (0, 7, 200, 400):
+        f = linkage.Forest(n)
+        for a, b in zip(i[t <= k].tolist(), j[t <= k].tolist(), strict=True):
+            f.join(a, b)
+        assert held[k].tolist() == [f.root(o) for o in range(n)]
+
+
+@pytest.mark.parametrize("most", [1, 4, 24])
+def test_dendrogram_in_runs(spark, points, most):
+    t = CONFIGS[1]
+    pairs, objects = spark.createDataFrame(points, "id1 long, id2 long, dist double"), spark.range(25).withColumnRenamed("id", "obj")
+    far = [(i + 2**50, j + 2**50, d) for i, j, d in points if d < 0.3]
+    few, moved = spark.createDataFrame(far, "id1 long, id2 long, dist double"), objects.selectExpr("obj + power(2, 50) as obj")
+    for p, o in ((pairs, objects), (few, moved)) if most == 4 else ((pairs, objects),):
+        expect = linkage.hclust(p, o, t).orderBy("step").collect()
+        assert linkage.hclust(p, o, t, forest_pairs=most).orderBy("step").collect() == expect and len(expect) == 24
+
+
 def test_overlapping_subsets(spark, points):
     t = CONFIGS[1]
     rng = random.Random(2)
