@@ -3,8 +3,9 @@
 The model mixes maximum-likelihood n-gram estimates of all orders with a uniform one.
 The weights depend on the frequency bucket of the longest context and are learned by
 expectation-maximisation: one tenth of the documents is deleted from the counts, its
-tokens are the held-out counts, and the rest gives the estimates. The final estimates
-use all training documents.
+tokens are the held-out counts, and the rest gives the estimates. Every step adds up the
+expected counts of all held-out tokens in the tasks; the driver sees a few sums for each
+context bucket. The final estimates use all training documents.
 
 How it runs. Documents become blocks of bounded size (a local vocabulary, token
 numbers, document ends) in the shared folder. Every block sends its distinct n-grams,
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +33,19 @@ from pyspark.sql import functions as F
 
 from linkgrove.llm.common import LOWER, UPPER, free_shuffles, staged, table, unstage
 
-ORDER = 2
+ORDER = 3
 FOLDS = 10
 #: Documents of this remainder are scored only; of the next, deleted to learn the weights.
 HELD_OUT, DELETED = 0, 1
 #: Tokens of a block and n-gram entries of a bucket: what one Python task holds.
-BLOCK = 2_300_000
-BUCKET_ENTRIES = 1_600_000
+BLOCK = 1_600_000
+BUCKET_ENTRIES = 1_300_000
 #: Buckets of the context frequency: 0, 1, 2-3, 4-7, ...
 CONTEXTS = 20
-#: Step of the EM table in natural logarithms of an estimate over the uniform one.
-STEP = 0.1
-ITERATIONS = 60
+#: Bits of an n-gram's key beyond those of the number of tokens: another n-gram has the same key with a chance of 2**-20.
+SPARE_BITS = 20
+#: Most steps of EM, and the change of a weight below which it ends.
+ITERATIONS, TOLERANCE = 30, 1e-3
 LEAST_UNIFORM = 1e-4
 ALPHA = 0.1
 #: Tokens that no word can equal, as they hold a blank.
@@ -76,6 +78,11 @@ def _unzip_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(_unzip(data, "<u8"), dtype=np.uint64)
 
 
+def key_bits(tokens: int) -> int:
+    """Leading bits of an n-gram's hash that tell the n-grams of a corpus apart; single words keep all 64."""
+    return min(64, max(32, int(tokens).bit_length() + SPARE_BITS))
+
+
 def mix(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Hash of a context's hash and the next word's hash."""
     x = context * np.uint64(0x9E3779B97F4A7C15) + word
@@ -162,7 +169,8 @@ def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Block:
     """A block's tokens and, for each order, its distinct n-grams."""
 
-    def __init__(self, row: dict, order: int):
+    def __init__(self, row: dict, order: int, bits: int):
+        self.bits = [64, *[bits] * (order - 1)]
         vocab = np.frombuffer(row["vocab"], np.uint64)
         words = vocab[_unzip(row["ids"], "<u4")]
         self.docs = np.frombuffer(row["docs"], np.int64).reshape(-1, 4)
@@ -179,7 +187,7 @@ class Block:
                 context[1:] = grams[:-1]
                 context[self.begins] = START
                 grams = mix(context, words)
-            keys, at = _numbered(grams)
+            keys, at = _numbered(grams >> np.uint64(64 - self.bits[k - 1]))
             self.keys.append(keys)
             self.at.append(at)
             self.model.append(np.bincount(at[model_tokens], minlength=len(keys)))
@@ -187,7 +195,7 @@ class Block:
 
     def cuts(self, kind: int, buckets: int) -> np.ndarray:
         """Where the key range's buckets begin among this block's keys of an order."""
-        edges = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
+        edges = np.array([(b << self.bits[kind - 1]) // buckets for b in range(buckets)], np.uint64)
         return np.append(np.searchsorted(self.keys[kind - 1], edges), len(self.keys[kind - 1]))
 
     def take(self, answer: dict, buckets: int, cuts: dict) -> None:
@@ -215,11 +223,11 @@ def context_bucket(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(counts.astype(np.float64))[1], CONTEXTS - 1)
 
 
-def _send(order: int, buckets: int):
+def _send(order: int, buckets: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                block = Block(row, order)
+                block = Block(row, order, bits)
                 for kind in range(1, order + 1):
                     cuts = block.cuts(kind, buckets)
                     out = []
@@ -275,8 +283,8 @@ def _add_up(group: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, _ANSWER_ARROW)
 
 
-def _answered(own: pa.Table, answers: pa.Table, order: int, buckets: int) -> Block:
-    block = Block(own.to_pylist()[0], order)
+def _answered(own: pa.Table, answers: pa.Table, order: int, buckets: int, bits: int) -> Block:
+    block = Block(own.to_pylist()[0], order, bits)
     cuts: dict[int, np.ndarray] = {}
     for batch in answers.to_batches():
         for row in batch.to_pylist():
@@ -284,63 +292,79 @@ def _answered(own: pa.Table, answers: pa.Table, order: int, buckets: int) -> Blo
     return block
 
 
-def _em_cells(order: int, buckets: int, stats: dict):
-    """Counts of the deleted tokens by context bucket and rounded logarithms of the estimates."""
+HELD_SCHEMA = "context binary, p binary"
+
+
+def _held(order: int, buckets: int, bits: int, stats: dict):
+    """The deleted tokens' context buckets (bytes) and estimates (orders x tokens, 32-bit floats), one row a block."""
 
     def run(own: pa.Table, answers: pa.Table) -> pa.Table:
-        names = ["cell", "n"]
-        if not own.num_rows:
-            return pa.table([pa.array([], pa.list_(pa.int32())), pa.array([], pa.int64())], names=names)
-        block = _answered(own, answers, order, buckets)
-        p, context = block.estimates(block.model, stats["model"], stats["model_docs"])
-        held = block.deleted_tokens
-        p, context = p[:, held], context[held]
-        with np.errstate(divide="ignore"):
-            logs = np.round(np.log(p * (stats["v_model"] + 1)) / STEP)
-        logs = np.where(np.isfinite(logs), logs, -(10**6)).astype(np.int32)
-        cells, n = np.unique(np.vstack([context_bucket(context).astype(np.int32), logs]), axis=1, return_counts=True)
-        return pa.table([pa.array(cells.T.tolist(), pa.list_(pa.int32())), pa.array(n, pa.int64())], names=names)
+        context, p = np.empty(0, np.int64), np.empty((order, 0))
+        if own.num_rows:
+            block = _answered(own, answers, order, buckets, bits)
+            p, context = block.estimates(block.model, stats["model"], stats["model_docs"])
+            p, context = p[:, block.deleted_tokens], context[block.deleted_tokens]
+        data = [context_bucket(context).astype(np.uint8).tobytes()], [p.astype("<f4").tobytes()]
+        return pa.table([pa.array(x, pa.binary()) for x in data], names=["context", "p"])
 
     return run
 
 
-def learn_weights(cells: list[tuple[list[int], int]], order: int) -> np.ndarray:
-    """(CONTEXTS x order+1) mixture weights by EM: uniform first, then rising orders.
+def expectations(context: np.ndarray, p: np.ndarray, uniform: float, weights: np.ndarray) -> np.ndarray:
+    """(CONTEXTS x order+1) expected counts of each estimate, by the tokens' context buckets."""
+    share = np.vstack([np.full(len(context), uniform), p]) * weights[context].T
+    share /= share.sum(axis=0)
+    return np.column_stack([np.bincount(context, x, CONTEXTS) for x in share])
+
+
+def _expect(order: int, uniform: float, weights: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(weights.shape)
+        for batch in batches:
+            for context, p in zip(*batch.columns, strict=True):
+                c = np.frombuffer(context.as_py(), np.uint8).astype(np.int64)
+                if len(c):
+                    total += expectations(c, np.frombuffer(p.as_py(), "<f4").reshape(order, -1).astype(np.float64), uniform, weights)
+        cells = [np.repeat(np.arange(CONTEXTS, dtype=np.int32), order + 1), np.tile(np.arange(order + 1, dtype=np.int32), CONTEXTS), total.ravel()]
+        yield pa.record_batch([pa.array(x) for x in cells], names=["bucket", "part", "n"])
 
-    A context bucket without held-out tokens takes the weights of the next lower one.
+    return run
+
+
+def learn_weights(expect: Callable[[np.ndarray], np.ndarray], order: int) -> np.ndarray:
+    """(CONTEXTS x order+1) mixture weights by EM from equal ones: uniform first, then rising orders.
+
+    `expect` gives the expected counts under weights. A context bucket without held-out
+    tokens takes the weights of the next lower one.
     """
     weights = np.full((CONTEXTS, order + 1), 1 / (order + 1))
-    table_ = np.array([c for c, _ in cells], np.int64).reshape(-1, order + 1)
-    n = np.array([k for _, k in cells], np.float64)
-    for b in range(CONTEXTS):
-        own = table_[:, 0] == b
-        if not own.any():
-            if b:
-                weights[b] = weights[b - 1]
-            continue
-        logs = table_[own, 1:]
-        ratio = np.hstack([np.ones((own.sum(), 1)), np.where(logs > -(10**6), np.exp(logs * STEP), 0)])
-        w = weights[b]
-        for _ in range(ITERATIONS):
-            share = ratio * w
-            share /= share.sum(axis=1, keepdims=True)
-            w = (share * n[own, None]).sum(axis=0)
-            w = np.maximum(w / w.sum(), 0)
-            w[0] = max(w[0], LEAST_UNIFORM)
-            w /= w.sum()
-        weights[b] = w
+    some = np.zeros(CONTEXTS, bool)
+    for _ in range(ITERATIONS):
+        counts = expect(weights)
+        some = counts.sum(axis=1) > 0
+        after = weights.copy()
+        after[some] = counts[some] / counts[some].sum(axis=1, keepdims=True)
+        after[:, 0] = np.maximum(after[:, 0], LEAST_UNIFORM)
+        after /= after.sum(axis=1, keepdims=True)
+        change = np.abs(after - weights).max()
+        weights = after
+        if change < TOLERANCE:
+            break
+    for b in range(1, CONTEXTS):
+        if not some[b]:
+            weights[b] = weights[b - 1]
     return weights
 
 
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(order: int, buckets: int, stats: dict, weights: np.ndarray):
+def _scores(order: int, buckets: int, bits: int, stats: dict, weights: np.ndarray):
     def run(own: pa.Table, answers: pa.Table) -> pa.Table:
         if not own.num_rows:
             empty = [[], [], [], [], [], [], []]
         else:
-            block = _answered(own, answers, order, buckets)
+            block = _answered(own, answers, order, buckets, bits)
             counts = [m + d for m, d in zip(block.model, block.deleted, strict=True)]
             p, context = block.estimates(counts, stats["train"], stats["train_docs"])
             w = weights[context_bucket(context)]
@@ -376,7 +400,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, block: int = BLOCK, buc
     sums = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "train", "model", "model_docs", "train_docs")]).first()
     stats = sums.asDict()
     buckets = max(4, -(-stats["tokens"] // bucket_entries))
-    sent = blocks.mapInArrow(_send(order, buckets), COUNT_SCHEMA)
+    bits = key_bits(stats["tokens"])
+    sent = blocks.mapInArrow(_send(order, buckets, bits), COUNT_SCHEMA)
     answers = staged(sent.groupBy("bucket", "kind").applyInArrow(_add_up, ANSWER_SCHEMA), "lm-answers")
     del sent
     free_shuffles(spark)
@@ -385,19 +410,21 @@ def score_documents(docs: DataFrame, order: int = ORDER, block: int = BLOCK, buc
     )
     stats |= seen.first().asDict()
     to_blocks = answers.where("block >= 0").groupBy("block")
-    cells = (
-        blocks.groupBy("block")
-        .cogroup(to_blocks)
-        .applyInArrow(_em_cells(order, buckets, stats), "cell array<int>, n long")
-        .groupBy("cell")
-        .agg(F.sum("n").alias("n"))
-    )
-    # bounded by the grid of context buckets and rounded estimates, not by the corpus
-    weights = learn_weights([(list(r["cell"]), r["n"]) for r in cells.collect()], order)
-    del cells
+    held = staged(blocks.groupBy("block").cogroup(to_blocks).applyInArrow(_held(order, buckets, bits, stats), HELD_SCHEMA), "lm-held")
+    free_shuffles(spark)
+
+    def expect(weights: np.ndarray) -> np.ndarray:
+        parts = held.mapInArrow(_expect(order, 1 / (stats["v_model"] + 1), weights), "bucket int, part int, n double")
+        out = np.zeros(weights.shape)
+        for bucket, part, n in parts.groupBy("bucket", "part").agg(F.sum("n")).collect():  # one row a weight
+            out[bucket, part] = n
+        return out
+
+    weights = learn_weights(expect, order)
+    unstage(held)
     free_shuffles(spark)
     return (
-        blocks.groupBy("block").cogroup(to_blocks).applyInArrow(_scores(order, buckets, stats, weights), SCORE_SCHEMA)
+        blocks.groupBy("block").cogroup(to_blocks).applyInArrow(_scores(order, buckets, bits, stats, weights), SCORE_SCHEMA)
     )
 
 
