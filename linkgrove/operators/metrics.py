@@ -220,13 +220,18 @@ def cluster_measures(
     return wide.select(*keys, F.inline(values))
 
 
+#: Decimal digits to which measures are compared.
+TIE_DIGITS = 10
+
+
 def best_thresholds(measured: DataFrame, thresholds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, measure, threshold, value): the best value of each measure, the lower middle threshold of ties.
 
     `measured` has keys, t_idx, measure, value; `thresholds` has t_idx, threshold. NaN
-    and null never win.
+    and null never win. Values count as equal if they agree to TIE_DIGITS digits, as sums
+    of floats come in any order.
     """
-    value = F.when(~F.isnan("value"), F.col("value"))
+    value = F.when(~F.isnan("value"), F.round("value", TIE_DIGITS))
     by = Window.partitionBy(*keys, "measure")
     top = (
         measured.withColumn("value", value)

@@ -175,24 +175,30 @@ _SUBSETS = """subsets AS (
   SELECT label::BIGINT AS subset, vec_id AS obj FROM embeddings UNION ALL SELECT 100 + label // 2, vec_id FROM embeddings)"""
 
 
-@_query("cluster_subsets", f"""
-WITH RECURSIVE pairs AS MATERIALIZED ({_PAIRS_SQL}), {_SUBSETS},
-edges AS MATERIALIZED (
-  SELECT s.subset, id1 AS a, id2 AS b FROM pairs JOIN subsets s ON s.obj = id1 JOIN subsets u ON u.obj = id2 AND u.subset = s.subset
-  UNION ALL SELECT s.subset, id2, id1 FROM pairs JOIN subsets s ON s.obj = id1 JOIN subsets u ON u.obj = id2 AND u.subset = s.subset
+_SUBSET_REACH = """edges AS MATERIALIZED (
+  SELECT t_idx, s.subset, id1 AS a, id2 AS b FROM pairs JOIN levels ON dist - 1.4901161193847656e-8 <= t
+    JOIN subsets s ON s.obj = id1 JOIN subsets u ON u.obj = id2 AND u.subset = s.subset
+  UNION ALL SELECT t_idx, s.subset, id2, id1 FROM pairs JOIN levels ON dist - 1.4901161193847656e-8 <= t
+    JOIN subsets s ON s.obj = id1 JOIN subsets u ON u.obj = id2 AND u.subset = s.subset
 ),
 reach AS (
-  SELECT subset, obj, obj AS r FROM subsets UNION SELECT x.subset, x.obj, e.b FROM reach x JOIN edges e ON x.subset = e.subset AND x.r = e.a
-)
-SELECT subset, obj, min(r) AS cluster FROM reach GROUP BY subset, obj
-""")
+  SELECT t_idx::INT AS t_idx, subset, obj, obj AS r FROM subsets, levels
+  UNION SELECT x.t_idx, x.subset, x.obj, e.b FROM reach x JOIN edges e ON x.t_idx = e.t_idx AND x.subset = e.subset AND x.r = e.a
+),
+clusters AS (SELECT t_idx, subset, obj, min(r) AS cluster FROM reach GROUP BY ALL)"""
+
+
+@_query("cluster_subsets", f"""
+WITH RECURSIVE pairs AS MATERIALIZED ({_PAIRS_SQL}), levels(t_idx, t) AS (VALUES {_LEVELS}), {_SUBSETS}, {_SUBSET_REACH}
+SELECT t_idx, subset, obj, cluster FROM clusters
+""")
 def cluster_subsets(spark, sf_dir):
     """Overlapping subsets: each label, and pairs of labels."""
     e = table(spark, sf_dir, "embeddings")
     one = e.select(F.col("label").cast("long").alias("subset"), F.col("vec_id").alias("obj"))
     two = e.select((F.floor(F.col("label") / 2) + 100).cast("long").alias("subset"), F.col("vec_id").alias("obj"))
     found = linkage.cluster(embedding_pairs(spark, sf_dir), _objects(spark, sf_dir), EMBEDDING_T, one.unionByName(two))
-    return found.where(F.col("t_idx") == len(EMBEDDING_T) - 1).select("subset", "obj", "cluster")
+    return found.select("t_idx", "subset", "obj", "cluster")
 
 
 @_query("cluster_stream", _CLOSURE + "SELECT t_idx, obj, cluster FROM clusters")
@@ -232,9 +238,8 @@ def _partitions(spark, sf_dir):
     return clusters, c.select(F.col("c_custkey").alias("obj"), F.col("c_nationkey").alias("c"))
 
 
-_CELLS = f"""
-WITH lv(t_idx, m) AS (VALUES {", ".join(map(str, _LEVELS_K))}),
-kc AS (SELECT t_idx, c_custkey % m + c_nationkey % 3 AS k, c_nationkey AS c FROM customer, lv),
+#: Measures from kc, the (t_idx, k, c) rows of a clustering k and a truth c.
+_OF_CELLS = """
 cells AS (
   SELECT t_idx, k, c, nij, sum(nij) OVER (PARTITION BY t_idx, k) AS nk, sum(nij) OVER (PARTITION BY t_idx, c) AS nc,
     sum(nij) OVER (PARTITION BY t_idx) AS n FROM (SELECT t_idx, k, c, count(*)::DOUBLE AS nij FROM kc GROUP BY ALL)
@@ -268,6 +273,9 @@ h AS (
 ),
 ami AS (SELECT t_idx, "MI", "EMI", ("MI" - "EMI") / (h - "EMI") AS "AMI" FROM mi JOIN emi USING (t_idx) JOIN h USING (t_idx))
 """
+_CELLS = f"""
+WITH lv(t_idx, m) AS (VALUES {", ".join(map(str, _LEVELS_K))}),
+kc AS (SELECT t_idx, c_custkey % m + c_nationkey % 3 AS k, c_nationkey AS c FROM customer, lv),{_OF_CELLS}"""
 
 
 def _rounded(df: DataFrame, *names: str, digits: int = 8) -> DataFrame:
@@ -288,14 +296,15 @@ def confusion_matrix(spark, sf_dir):
 WITH lv(t_idx, m) AS (VALUES (0, 3), (1, 7), (2, 25), (3, 40)),
 kc AS (SELECT t_idx, c_custkey % m + c_nationkey % 3 AS k, (c_nationkey + t_idx * c_custkey) % 11 AS c FROM customer, lv),
 cells AS (SELECT t_idx, nij, sum(nij) OVER (PARTITION BY t_idx, k) AS nk, sum(nij) OVER (PARTITION BY t_idx, c) AS nc FROM (
-  SELECT t_idx, k, c, count(*)::DOUBLE AS nij FROM kc GROUP BY ALL))
-SELECT t_idx::INT AS t_idx, sum(nij * (nij - 1) / 2) AS "TP", sum(nij * (nk - nij) / 2) AS "FP", sum(nij * (nc - nij) / 2) AS "FN" FROM cells GROUP BY t_idx
+  SELECT t_idx, k, c, count(*)::DOUBLE AS nij FROM kc GROUP BY ALL)),
+three AS (SELECT t_idx, sum(nij) AS n, sum(nij * (nij - 1) / 2) AS "TP", sum(nij * (nk - nij) / 2) AS "FP", sum(nij * (nc - nij) / 2) AS "FN" FROM cells GROUP BY t_idx)
+SELECT t_idx::INT AS t_idx, "TP", "FP", "FN", n * (n - 1) / 2 - "TP" - "FP" - "FN" AS "TN" FROM three
 """)
 def confusion_matrix2(spark, sf_dir):
     """Each threshold has a truth of its own."""
     clusters, truth = _partitions(spark, sf_dir)
     own = clusters.join(truth, "obj").select("t_idx", "obj", ((F.col("c") + F.col("t_idx") * F.col("obj")) % 11).alias("c"))
-    return metrics.confusion_matrix(clusters, own).select("t_idx", "TP", "FP", "FN")
+    return metrics.confusion_matrix(clusters, own).select("t_idx", "TP", "FP", "FN", "TN")
 
 
 @_query("pair_indices", _sql("ix", "RI", "ARI", "MCC", "FMI"))
@@ -464,7 +473,32 @@ def subtaxon_thresholds(spark, sf_dir):
     return found.withColumn("threshold", F.round("threshold", 6))
 
 
-@_query("optimize_thresholds")
+_EACH_T = " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(EMBEDDING_T.values))
+
+
+@_query("optimize_thresholds", f"""
+WITH RECURSIVE pairs AS MATERIALIZED ({_PAIRS_SQL}), levels(t_idx, t) AS (VALUES {_LEVELS}),
+placed AS (
+  SELECT 'top' AS superrank, 'pair' AS rank, 'all' AS supertaxon, vec_id AS obj, (label // 2)::VARCHAR AS taxon FROM embeddings
+  UNION ALL SELECT 'top', 'one', 'all', vec_id, label::VARCHAR FROM embeddings
+  UNION ALL SELECT 'pair', 'one', (label // 2)::VARCHAR, vec_id, label::VARCHAR FROM embeddings),
+large AS (
+  SELECT *, row_number() OVER (ORDER BY superrank, rank, supertaxon) AS subset FROM (
+    SELECT superrank, rank, supertaxon FROM placed GROUP BY superrank, rank, supertaxon
+    HAVING superrank = 'top' OR (count(*) >= 10 AND count(DISTINCT taxon) >= 2))),
+subsets AS MATERIALIZED (SELECT subset, obj, taxon FROM placed JOIN large USING (superrank, rank, supertaxon)), {_SUBSET_REACH},
+kc AS (SELECT l.subset * 10 + l.t_idx AS t_idx, l.cluster AS k, s.taxon AS c FROM clusters l JOIN subsets s USING (subset, obj)),{_OF_CELLS},
+long AS (
+  SELECT t_idx // 10 AS subset, t_idx % 10 AS t_idx, measure, round(value, 10) AS value FROM (
+    SELECT t_idx, unnest({list(metrics.MEASURES)}) AS measure, unnest([{", ".join(f'"{m}"' for m in metrics.MEASURES)}]) AS value
+    FROM ix JOIN ami USING (t_idx) JOIN fm USING (t_idx))),
+best AS (SELECT *, max(CASE WHEN NOT isnan(value) THEN value END) OVER (PARTITION BY subset, measure) AS top FROM long),
+ties AS (
+  SELECT *, row_number() OVER (PARTITION BY subset, measure ORDER BY t_idx) AS pos, count(*) OVER (PARTITION BY subset, measure) AS n
+  FROM best WHERE value = top)
+SELECT rank, superrank, supertaxon, measure, (CASE t_idx {_EACH_T} END)::DOUBLE AS threshold, round(value, 6) AS value
+FROM ties JOIN large USING (subset) WHERE pos = (n + 1) // 2
+""")
 def optimize_thresholds(spark, sf_dir):
     """Labels of vectors as ranks: the pair of labels above, the label below."""
     e = table(spark, sf_dir, "embeddings")
@@ -562,6 +596,31 @@ def edit_candidates(spark, sf_dir):
     return dm.prefilter(dm.length_pairs(seqs, 0.3), 0.3).select("seq_idx1", "seq_idx2", "edits")
 
 
+@_query("align_scores", """
+WITH n AS (SELECT n_name AS s, row_number() OVER (ORDER BY n_name) - 1 AS i FROM nation)
+SELECT a.i AS seq_idx1, b.i AS seq_idx2, levenshtein(a.s, b.s)::DOUBLE AS score2 FROM n a JOIN n b ON a.i < b.i
+""")
+def align_scores(spark, sf_dir):
+    """Every pair of nation names aligned; the least cost is that of the fewest edits."""
+    seqs = sq.with_index(table(spark, sf_dir, "nation").select(F.col("n_name").alias("seq")), ["seq"]).withColumn("seq_id", F.col("seq"))
+    found = dm.seq_distmx(seqs, 1.0, by_index=True)
+    return found.select(F.least("seq_idx1", "seq_idx2").alias("seq_idx1"), F.greatest("seq_idx1", "seq_idx2").alias("seq_idx2"), "score2")
+
+
+@_query("hamming_gaps", f"""
+WITH {_SEQS}, ends AS (SELECT i, min(p) AS f, max(p) AS l FROM pos WHERE x <> '-' GROUP BY i),
+sums AS (
+  SELECT a.i AS i, b.i AS j, count(*) AS n, count(*) FILTER (a.x <> b.x) AS e
+  FROM pos a JOIN pos b ON a.p = b.p AND a.i < b.i JOIN ends s ON s.i = a.i JOIN ends u ON u.i = b.i
+  WHERE (a.x <> '-' OR b.x <> '-') AND a.p BETWEEN greatest(s.f, u.f) AND least(s.l, u.l) GROUP BY a.i, b.i)
+SELECT i AS seq_idx1, j AS seq_idx2, round(e / n, 8) AS dist2 FROM sums WHERE e / n <= 0.6
+""")
+def hamming_gaps(spark, sf_dir):
+    """Gaps count as mismatches inside the span of both sequences."""
+    found = dm.seq_distmx(vector_sequences(spark, sf_dir), 0.6, HammingDistance(ignore_gaps=False), by_index=True)
+    return found.select("seq_idx1", "seq_idx2", F.round("dist2", 8).alias("dist2"))
+
+
 @_query("align_names")
 def align_names(spark, sf_dir):
     """Gap-affine distances of part names with gap statistics."""
@@ -570,7 +629,24 @@ def align_names(spark, sf_dir):
     return dm.seq_distmx(seqs, 0.3, details="gapstats").withColumn("dist2", F.round("dist2", 8)).drop("dist1", "score1")
 
 
-@_query("closed_reference")
+def _waves_sql(known: str, name: str) -> str:
+    """walk(seq_id, wave): shortest chains from the known vectors; up(seq_id, back): the known one that each chain came from."""
+    return f"""pairs AS MATERIALIZED ({_PAIRS_SQL}),
+edges AS MATERIALIZED (SELECT id1 AS a, id2 AS b, dist FROM pairs WHERE dist <= 0.6 UNION ALL SELECT id2, id1, dist FROM pairs WHERE dist <= 0.6),
+walk(seq_id, wave) USING KEY (seq_id) AS (
+  SELECT vec_id, 0 FROM embeddings WHERE {known}
+  UNION SELECT e.b, w.wave + 1 FROM walk w JOIN edges e ON w.seq_id = e.a WHERE e.b NOT IN (SELECT seq_id FROM recurring.walk)),
+via AS MATERIALIZED (
+  SELECT seq_id, back FROM (
+    SELECT w.seq_id, v.seq_id AS back, row_number() OVER (PARTITION BY w.seq_id ORDER BY dist, {name}) AS pos
+    FROM walk w JOIN edges ON a = w.seq_id JOIN walk v ON v.seq_id = b AND v.wave = w.wave - 1) WHERE pos = 1),
+up AS (SELECT seq_id, back FROM via UNION ALL SELECT u.seq_id, v.back FROM up u JOIN via v ON v.seq_id = u.back)"""
+
+
+@_query("closed_reference", f"""
+WITH RECURSIVE {_waves_sql("label <= 1", "v.seq_id")}
+SELECT u.seq_id, u.back AS ref_id, w.wave::INT AS wave FROM up u JOIN walk w ON w.seq_id = u.seq_id JOIN walk r ON r.seq_id = u.back AND r.wave = 0
+""")
 def closed_reference(spark, sf_dir):
     """Vectors of label 0 and 1 as references, all others in waves."""
     pairs = embedding_pairs(spark, sf_dir).select(F.col("id1").alias("seq_id"), F.col("id2").alias("other_id"), "dist")
@@ -578,7 +654,18 @@ def closed_reference(spark, sf_dir):
     return assign.closed_ref_from_pairs(pairs, e.where("label > 1"), e.where("label <= 1"), 0.6)
 
 
-@_query("assign_taxa")
+@_query("assign_taxa", f"""
+WITH RECURSIVE {_waves_sql("label < 5", "'v' || v.seq_id")},
+found AS (SELECT u.seq_id, 'label' || label AS one FROM up u JOIN embeddings ON vec_id = u.back WHERE label < 5),
+open AS MATERIALIZED (SELECT vec_id FROM embeddings WHERE label >= 5 AND vec_id NOT IN (SELECT seq_id FROM found)),
+inner_edges AS MATERIALIZED (SELECT a, b FROM edges WHERE a IN (SELECT vec_id FROM open) AND b IN (SELECT vec_id FROM open)),
+reach AS (SELECT vec_id AS obj, vec_id AS r FROM open UNION SELECT x.obj, e.b FROM reach x JOIN inner_edges e ON x.r = e.a),
+clusters AS (SELECT obj, min(r) AS k FROM reach GROUP BY obj),
+firsts AS (SELECT k, row_number() OVER (ORDER BY min('v' || obj)) AS no, count(*) OVER () AS total FROM clusters GROUP BY k)
+SELECT 'v' || vec_id AS seq_id, 'all' AS top, 'label' || label AS one FROM embeddings WHERE label < 5
+UNION ALL SELECT 'v' || seq_id, 'all', one FROM found
+UNION ALL SELECT 'v' || obj, 'all', 'pseudoone_' || lpad(no::VARCHAR, greatest(3, length(total::VARCHAR))::INT, '0') FROM clusters JOIN firsts USING (k)
+""")
 def assign_taxa(spark, sf_dir):
     """Half of the labels are known; the rest join them or form pseudotaxa."""
     s = vector_sequences(spark, sf_dir)
