@@ -1,13 +1,15 @@
 """Pair generation and the distance relations of sequence sets.
 
-All pairs are made by blocks: sequences are dealt to blocks by place, and each pair of
-blocks is one group, so a task holds two blocks of bounded size and pairs leave it only
-if they are within the threshold. Blocks of sequences ordered by length skip each other
-where lengths alone rule a pair out.
+All pairs are made by tiles: sequences are dealt to groups, and each pair of groups is
+one task that compares them block by block, so a task holds two groups of bounded size
+and pairs leave it only if they are within the threshold. A sequence is sent once for
+each group, not for each block. Where lengths alone rule a pair out, groups are runs in
+the order of length, and pairs of groups that no length allows are never made.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +21,13 @@ from linkgrove.config import FileDistance, HammingDistance, Prefilter, Wfa2Dista
 from linkgrove.functions import alignment as al
 from linkgrove.functions import hamming as hm
 from linkgrove.sources import distances as files
-from linkgrove.sources.sequences import indexed
+from linkgrove.sources.sequences import indexed, with_index
+from linkgrove.storage import staged
 
-#: Sequences of a block; a task compares at most this many squared.
+#: Sequences that a task compares at once with others; the least size of a group.
 BLOCK = 512
+#: Pairs of groups that are made if groups stay between BLOCK and the most sequences that a task holds twice.
+TILES, MOST = 4096, 16_384
 #: Pairs that the alignment kernel takes at once.
 BATCH = 2048
 DETAILS = ("none", "gapstats", "cigar")
@@ -66,14 +71,37 @@ def kmer_pairs(seqs: DataFrame, udist_threshold: float, k: int = 8, presence: bo
     return shared.select("seq_idx1", "seq_idx2", udist.alias("udist")).where(F.col("udist") <= udist_threshold)
 
 
-def block_pairs(seqs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(lo, hi, block, seq_idx, seq): every block once for each pair of blocks that it is part of."""
-    n = max(1, -(-seqs.count() // block))
-    own = seqs.select((F.col("seq_idx") % n).cast("int").alias("block"), "seq_idx", "seq")
-    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    return own.select("*", other.alias("_other")).select(
-        F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "block", "seq_idx", "seq"
+def group_size(rows: int, block: int = BLOCK) -> int:
+    """Sequences of a group, so that about TILES pairs of groups arise."""
+    return max(block, min(MOST, math.ceil(rows / math.sqrt(2 * TILES))))
+
+
+def block_pairs(seqs: DataFrame, block: int = BLOCK, shorter: float | None = None) -> DataFrame:
+    """(lo, hi, block, seq_idx, seq): every group once for each pair of groups that it is part of.
+
+    With `shorter`, groups are runs in the order of length, and pairs of groups are left
+    out whose longest shorter sequence is under that share of the shortest longer one.
+    """
+    rows = seqs.count()
+    size = group_size(rows, block)
+    n = max(1, -(-rows // size))
+    if shorter is None or n == 1:
+        own = seqs.select((F.col("seq_idx") % n).cast("int").alias("block"), "seq_idx", "seq")
+        other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        return own.select("*", other.alias("_other")).select(
+            F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "block", "seq_idx", "seq"
+        )
+    sized = seqs.select("seq_idx", "seq", F.length("seq").alias("_length"))
+    own = staged(
+        with_index(sized, ["_length", "seq_idx"], "_place").withColumn("block", F.floor(F.col("_place") / size).cast("int")), "length-groups"
+    )
+    # a row a group; a group is at most TILES' square root or rows / MOST in number
+    ends = own.groupBy("block").agg(F.min("_length").alias("least"), F.max("_length").alias("most")).orderBy("block").collect()
+    allowed = [(x.block, y.block) for k, x in enumerate(ends) for y in ends[k:] if x.most >= shorter * y.least - 1e-9]
+    tiles = seqs.sparkSession.createDataFrame(
+        [(lo, hi, b) for lo, hi in allowed for b in {lo, hi}], "lo int, hi int, block int"
     )
+    return own.join(F.broadcast(tiles), "block").select("lo", "hi", "block", "seq_idx", "seq")
 
 
 def _columns(details: str) -> list[str]:
@@ -94,9 +122,13 @@ class Kernel:
         self.config, self.threshold, self.span, self.details = config, threshold, span, details
         self.constrain = constrain
 
+    def by_length(self) -> bool:
+        """Whether lengths rule pairs out."""
+        return self.span == "global" and self.constrain and not isinstance(self.config, HammingDistance)
+
     def possible(self, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
         """Whether lengths leave the pair a chance."""
-        if self.span != "global" or not self.constrain or isinstance(self.config, HammingDistance):
+        if not self.by_length():
             return np.ones(len(la), bool)
         return np.minimum(la, lb) >= (1 - self.threshold) * np.maximum(la, lb) - 1e-12
 
@@ -195,7 +227,8 @@ def seq_distmx(
         found = files.file_pairs(seqs.sparkSession, config, numbered, threshold)
     else:
         kernel = Kernel(config, threshold, span, details, constrain)
-        blocks = block_pairs(numbered, block)
+        shorter = 1 - threshold if kernel.by_length() else None
+        blocks = block_pairs(numbered, block, shorter)
         found = blocks.groupBy("lo", "hi").applyInArrow(_group(kernel), _BASE + _MORE[details])
     return found if by_index else with_names(found, numbered)
 
@@ -260,8 +293,9 @@ def length_pairs(seqs: DataFrame, threshold: float) -> DataFrame:
 def prefilter(pairs: DataFrame, threshold: float) -> DataFrame:
     """Pairs of length_pairs whose edit distance leaves a distance within the threshold possible, natively."""
     bound = al.edit_bound(F.length("a"), F.length("b"), threshold)
-    edits = F.levenshtein("a", "b")
-    return pairs.withColumn("edits", edits).where(F.col("edits") <= bound)
+    # the bounded form stops as soon as the bound is passed and gives -1
+    near = pairs.withColumn("_bound", bound.cast("int")).withColumn("edits", F.expr("levenshtein(a, b, _bound)"))
+    return near.where(F.col("edits") >= 0).drop("_bound")
 
 
 def seq_distmx_prealign(

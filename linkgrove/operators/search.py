@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from linkgrove.config import FileDistance, HammingDistance, Wfa2Distance
 from linkgrove.functions import alignment as al
 from linkgrove.functions import hamming as hm
-from linkgrove.operators.distances import BATCH, Kernel
+from linkgrove.operators.distances import BATCH, Kernel, group_size
 from linkgrove.sources import distances as files
 
-#: Queries and references of a task's blocks.
+#: Least queries and references of a task's groups.
 QUERY_BLOCK, REF_BLOCK = 256, 1024
 _HITS = "seq_id string, ref_id string, dist double, cigar string"
 
@@ -80,7 +80,8 @@ def seq_search(
         return best_hits(files.file_hits(query.sparkSession, config, query, ref).where(F.col("dist") <= threshold))
     if isinstance(config, HammingDistance) and (return_cigar or span != "global"):
         raise ValueError("Hamming distance has neither CIGAR nor extension")
-    nq, nr = max(1, -(-query.count() // QUERY_BLOCK)), max(1, -(-ref.count() // REF_BLOCK))
+    rows = query.count(), ref.count()
+    nq, nr = (max(1, -(-n // group_size(n, least))) for n, least in zip(rows, (QUERY_BLOCK, REF_BLOCK), strict=True))
 
     def dealt(df: DataFrame, own: int, other: int, is_ref: bool) -> DataFrame:
         mine = F.pmod(F.xxhash64("seq_id"), F.lit(own))

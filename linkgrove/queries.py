@@ -52,13 +52,17 @@ def _cosine(threshold: float):
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         seqs = group.column("seq").combine_chunks()
         grid = seqs.flatten().to_numpy().astype(np.float64).reshape(len(seqs), -1)
-        a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        dist = np.round(1 - grid[a] @ grid[b].T, 6)
-        i, j = idx[a][:, None], idx[b][None, :]
-        keep = (dist <= threshold) & ((i < j) if lo == hi else np.ones(dist.shape, bool))
-        r, c = np.nonzero(keep)
-        one, two = idx[a][r], idx[b][c]
-        return pa.table({"id1": np.minimum(one, two), "id2": np.maximum(one, two), "dist": dist[r, c]})
+        left, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        found = []
+        for at in range(0, max(1, len(left)), dm.BLOCK):
+            a = left[at : at + dm.BLOCK]
+            dist = np.round(1 - grid[a] @ grid[b].T, 6)
+            i, j = idx[a][:, None], idx[b][None, :]
+            keep = (dist <= threshold) & ((i < j) if lo == hi else np.ones(dist.shape, bool))
+            r, c = np.nonzero(keep)
+            found.append((idx[a][r], idx[b][c], dist[r, c]))
+        one, two, dist = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"id1": np.minimum(one, two), "id2": np.maximum(one, two), "dist": dist})
 
     return run
 
@@ -496,7 +500,7 @@ best AS (SELECT *, max(CASE WHEN NOT isnan(value) THEN value END) OVER (PARTITIO
 ties AS (
   SELECT *, row_number() OVER (PARTITION BY subset, measure ORDER BY t_idx) AS pos, count(*) OVER (PARTITION BY subset, measure) AS n
   FROM best WHERE value = top)
-SELECT rank, superrank, supertaxon, measure, (CASE t_idx {_EACH_T} END)::DOUBLE AS threshold, round(value, 6) AS value
+SELECT rank, superrank, supertaxon, measure, (CASE t_idx {_EACH_T} END)::DOUBLE AS threshold, round(value, 6) + 0.0 AS value
 FROM ties JOIN large USING (subset) WHERE pos = (n + 1) // 2
 """)
 def optimize_thresholds(spark, sf_dir):
@@ -508,7 +512,7 @@ def optimize_thresholds(spark, sf_dir):
     )
     return optimize.optimize_from_pairs(
         embedding_pairs(spark, sf_dir), tax, ("top", "pair", "one"), EMBEDDING_T, min_taxa=2, min_refseq=10
-    ).withColumn("value", F.round("value", 6))
+    ).withColumn("value", F.round("value", 6) + F.lit(0.0))  # no negative zeros
 
 
 @_query("strict_median", """

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkgrove.storage import staged
+from linkgrove.storage import maybe_broadcast, staged
 
 # File names of both formats, and column names in order of preference.
 FASTA = re.compile(r"\.(fas?|fasta)(\.gz)?$", re.I)
@@ -77,16 +77,30 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(seq_id, seq, quality, description) of FASTQ files with four lines a record.
 
-    A record begins at '\\n@' only where two lines on a '+' line follows; quality lines
-    may begin with '@' too. Splitting on '\\n+' leaves, between two '+' lines, a
-    quality, then the next header and sequence.
+    Files are read in byte splits, so their size has no bound: a line's number is its
+    place in its split after the lines of the splits before, and four lines in a row are
+    a record, whatever they begin with. A record that lacks its '@' or '+' line, such as
+    blank lines at the end, is left out.
     """
-    lines = spark.read.text(path, wholetext=True)
-    record = r"(?:^|\n)@([^\r\n]*)\r?\n([^\r\n]*)\r?\n\+[^\r\n]*\r?\n([^\r\n]*)"
-    found = F.regexp_extract_all("value", F.lit(record), F.lit(0))
-    one = lines.select(F.explode(found).alias("r"))
-    part = lambda k: F.regexp_extract("r", record, k)
-    return one.select(F.split(part(1), r"\s+")[0].alias("seq_id"), part(2).alias("seq"), part(3).alias("quality"), part(1).alias("description"))
+    lines = staged(
+        spark.read.text(path).select(
+            "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"),
+            F.monotonically_increasing_id().alias("_at"),
+        ),
+        "fastq-lines",
+    )
+    splits = lines.groupBy("_file", "_split").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = staged(splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "fastq-splits")
+    number = F.col("_at") - F.col("_first") + F.col("_before")
+    placed = lines.join(maybe_broadcast(starts, starts.count()), ["_file", "_split"]).select(
+        "_file", F.floor(number / 4).alias("_record"), (number % 4).alias("_line"), F.rtrim("value").alias("value")
+    )
+    line = lambda k: F.max(F.when(F.col("_line") == k, F.col("value")))
+    records = placed.groupBy("_file", "_record").agg(*[line(k).alias(c) for k, c in enumerate(("_head", "seq", "_plus", "quality"))])
+    whole = records.where(F.col("_head").startswith("@") & F.col("_plus").startswith("+") & F.col("quality").isNotNull())
+    head = F.substring("_head", 2, 1 << 30)
+    return whole.select(F.split(head, r"\s+")[0].alias("seq_id"), "seq", "quality", head.alias("description"))
 
 
 def fastq_names(spark: SparkSession, path: str) -> DataFrame:

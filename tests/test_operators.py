@@ -457,6 +457,42 @@ def test_seq_cluster_forms(spark, six, tmp_path):
         seq_cluster(six, t, which=[["nobody"]]).count()
 
 
+def test_fastq_in_byte_splits(spark, tmp_path):
+    """Records that begin with any letter, over many splits of two files and through gzip."""
+    rows = [(f"r{k}", "ACGT"[k % 4] * (k % 23), "@+I>"[k % 4] * (k % 23)) for k in range(900)]
+    text = "".join(f"@{i} more {i}\n{s}\n+{i if len(s) % 2 else ''}\n{q}\n" for i, s, q in rows)
+    cut = text.index("@r400 ")
+    folder = tmp_path / "reads"
+    folder.mkdir()
+    (folder / "a.fastq").write_text(text[:cut])
+    (folder / "b.fastq").write_text(text[cut:].replace("\n", "\r\n") + "\n\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = sq.read_fastq(spark, str(folder))
+        assert sorted(map(tuple, got.select("seq_id", "seq", "quality").collect())) == sorted(rows)
+        assert {r.description for r in got.select("description").limit(3).collect()} <= {f"{i} more {i}" for i, _, _ in rows}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_tiles_by_length(spark):
+    """Groups in the order of length leave out pairs that no length allows, and no pair within the threshold."""
+    rng = random.Random(12)
+    rows = [(k, f"s{k}", "".join(rng.choice("ACGT") for _ in range(rng.choice([6, 20, 60, 61])))) for k in range(40)]
+    rows += [(40 + k, f"t{k}", rows[k][2][1:] + "A") for k in range(20)]
+    seqs = spark.createDataFrame(rows, "seq_idx long, seq_id string, seq string")
+    whole = dm.seq_distmx(seqs, 0.3, by_index=True)
+    tiles = dm.block_pairs(seqs, 5, 0.7)
+    pairs = {(r.lo, r.hi) for r in tiles.select("lo", "hi").distinct().collect()}
+    assert 12 <= len(pairs) < 12 * 13 / 2 * 0.6 and all((b, b) in pairs for b in range(12))
+    got = dm.seq_distmx(seqs, 0.3, by_index=True, block=5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())) and whole.count() > 10
+
+
+def test_groups_follow_the_root_of_the_rows():
+    assert [dm.group_size(n) for n in (1, 10**4, 10**6, 10**9)] == [512, 512, 11049, 16384]
+
+
 def test_fasta_and_fastq(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">s1 first one\nACGT\nAC\n>s2\nGG\n>s3\n\n")
     rows = sorted(map(tuple, sq.read_fasta(spark, str(tmp_path / "a.fa")).collect()))
