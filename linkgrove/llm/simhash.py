@@ -61,7 +61,6 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1)
-        # UTF-8 goes in as bytes: no decoding of the whole column
         fps = np.fromiter((fingerprint(t.as_py()) for t in texts), dtype=np.uint64, count=len(texts))
         yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
@@ -160,14 +159,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group, that with the least doc_id, with all its columns.
-
-    Needs doc_id unique; rows with a null doc_id stay.
-    """
-    extra = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_extra"))
-    return docs.join(extra.hint("shuffle_hash"), F.col("doc_id") == F.col("_extra"), "left_anti")
-
-
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -76,8 +76,3 @@ def test_long_chain(spark):
 
     reach = components(simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"))).collect()
     assert {r.component for r in reach} == {min(values)} and len(reach) == len(values) - 1
-
-
-def test_keep_first(small, small_rows):
-    kept = {r.doc_id for r in simhash.keep_first(small).collect()}
-    assert kept == {c for _, _, c in brute_components(small_rows)}
