@@ -113,9 +113,13 @@ def _with_thresholds(taxa: DataFrame, optima: DataFrame, rank: str, child: str,
     return taxa.withColumn(name, F.coalesce(*found)).drop(*found)
 
 
-def _default(optima: DataFrame, child: str, default: Sequence[str], order: Sequence[str]) -> DataFrame:
+def _default(optima: DataFrame, child: str, default: Sequence[str] | DataFrame, order: Sequence[str]) -> DataFrame:
     """One row, the first optimum for `child` of a default supertaxon; null if none."""
-    own = optima.where((F.col("rank") == child) & F.col("supertaxon").isin(list(default)))
+    own = optima.where(F.col("rank") == child)
+    if isinstance(default, DataFrame):
+        own = own.join(default, "supertaxon", "left_semi")
+    else:
+        own = own.where(F.col("supertaxon").isin(list(default)))
     return own.orderBy(*order).limit(1).agg(F.max("threshold").alias("threshold"))
 
 
@@ -123,7 +127,7 @@ def _prepare(taxon_table, optima, rank, ranks, default, measure, metric, conf_le
     chosen = chosen_optima(optima, measure, metric, conf_level)
     order = ["_place"] if "_place" in chosen.columns else ["superrank", "supertaxon", "threshold"]
     if default is None:
-        default = [r[0] for r in taxon_table.select(ranks[0]).where(F.col(ranks[0]).isNotNull()).distinct().orderBy(ranks[0]).collect()]
+        default = taxon_table.select(F.col(ranks[0]).alias("supertaxon")).where("supertaxon IS NOT NULL").distinct()
     taxa = taxon_table.select(*[*superranks(rank, ranks), rank]).where(F.col(rank).isNotNull()).distinct()
     first = Window.partitionBy(rank).orderBy(*[F.col(r) for r in superranks(rank, ranks)] or [F.col(rank)])
     taxa = taxa.withColumn("_at", F.row_number().over(first)).where("_at = 1").drop("_at")

@@ -21,12 +21,12 @@ ROWS_A_FILE = 500_000
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see, named by spark.checkpoint.dir.
 
-    Only a local[...] session without that setting gets a folder of its own.
+    Only a session on one machine (local, local[...]) without that setting gets a folder of its own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
     own = tempfile.mkdtemp(prefix="linkgrove-")
     atexit.register(shutil.rmtree, own, True)
