@@ -22,8 +22,8 @@ all documents costs one entry a task; buckets follow the number of bytes.
 A minimizer inside boilerplate may have as many different segments as there are
 documents. Such heavy minimizers are told by a sample of the texts, which decides where
 things are compared and nothing else: their segments are dealt to buckets one by one,
-and the strings of those segments meet by their 128-bit hash in an aggregation with
-partial sums, so no bucket holds a heavy minimizer.
+and those whose surroundings stand elsewhere too meet string by string, by 128-bit hash in
+an aggregation with partial sums, so no bucket holds a heavy minimizer.
 """
 
 from __future__ import annotations
@@ -52,6 +52,8 @@ NO_ID = -(1 << 63)
 COVER, NEED, HEAVY = 0, 1, 2
 #: One text of SAMPLE tells heavy minimizers, those with SAMPLED different segments in it: about a bucket full; the most that every task is told.
 SAMPLE, SAMPLED, MOST_HEAVY = 32, 128, 500_000
+#: Grid of the contexts of heavy minimizers; divides the places that a minimizer can have in a string.
+STEP = 17
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.frombuffer(hashlib.shake_256(b"bytes").digest(256 * 8), "<u8").copy()
@@ -346,23 +348,42 @@ def heavy_minimizers(texts: DataFrame) -> np.ndarray:
     return np.sort(most.to_numpy(np.int64).view(np.uint64))
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with heavy needs to (k1, k2, doc, text_hash, at): the hash of every string around a heavy minimizer."""
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with heavy needs to (k1, k2, doc, text_hash, at, h): hashes of what lies around each heavy minimizer.
+
+    A string holds the minimizer, `a` bytes before it and the rest behind it. With `a`
+    cut to a grid of STEP, two segments with a common string have a common context, which
+    is STEP bytes shorter than the string.
+    """
+    names = ["k1", "k2", "doc", "text_hash", "at", "h"]
     for batch in batches:
         for doc, text_hash, text, needs in zip(*batch.columns, strict=True):
             data = _bytes(text.as_py())
-            places = np.unique(np.frombuffer(b"".join(needs.as_py()), "<i8").reshape(-1, 2)[:, 0])
-            starts = np.unique(places[:, None] - np.arange(MIN_LENGTH - K + 1))
+            found, at, h = [], [], []
+            for place, key in np.unique(np.frombuffer(b"".join(needs.as_py()), "<i8").reshape(-1, 2), axis=0).tolist():
+                for before in range(0, MIN_LENGTH - K - STEP + 1, STEP):
+                    low, high = place - before, place - before + MIN_LENGTH - STEP
+                    if low >= 0 and high <= len(data):
+                        found.append(xxhash.xxh3_128_digest(data[low:high], before))
+                        at.append(place)
+                        h.append(key)
+            keys = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+            n = len(at)
+            columns = [keys[:, 0], keys[:, 1], np.full(n, doc.as_py()), np.full(n, text_hash.as_py()), np.array(at, np.int64), np.array(h, np.int64)]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=names)
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, text_hash, text, places of minimizers) to (k1, k2, doc, text_hash, at): the hash of every string around them."""
+    for batch in batches:
+        for doc, text_hash, text, places in zip(*batch.columns, strict=True):
+            data = _bytes(text.as_py())
+            starts = np.unique(np.array(places.as_py(), np.int64)[:, None] - np.arange(MIN_LENGTH - K + 1))
             starts = starts[(starts >= 0) & (starts + MIN_LENGTH <= len(data))]
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[a : a + MIN_LENGTH]) for a in starts.tolist()), "<i8").reshape(-1, 2)
             n = len(starts)
-            yield pa.record_batch(
-                [
-                    pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([doc.as_py()] * n, pa.int64()),
-                    pa.array([text_hash.as_py()] * n, pa.int64()), pa.array(starts, pa.int64()),
-                ],
-                names=["k1", "k2", "doc", "text_hash", "at"],
-            )
+            columns = [keys[:, 0], keys[:, 1], np.full(n, doc.as_py()), np.full(n, text_hash.as_py()), starts]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["k1", "k2", "doc", "text_hash", "at"])
 
 
 def _cover_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,8 +397,16 @@ def _cover_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def heavy_covers(texts: DataFrame) -> DataFrame:
-    """Cover rows of (doc, text_hash, text, needs): strings around heavy minimizers that also start earlier."""
-    strings = staged(texts.mapInArrow(_strings, "k1 long, k2 long, doc long, text_hash long, at long"), "suffix-strings")
+    """Cover rows of (doc, text_hash, text, needs): strings around heavy minimizers that also start earlier.
+
+    Only minimizers with a context that stands elsewhere too make strings.
+    """
+    columns = "k1 long, k2 long, doc long, text_hash long, at long"
+    contexts = staged(texts.mapInArrow(_contexts, f"{columns}, h long"), "suffix-contexts")
+    shared = contexts.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2")
+    places = contexts.join(shared, ["k1", "k2"], "left_semi").groupBy("doc", "text_hash").agg(F.collect_set("at").alias("places"))
+    near = texts.drop("needs").join(places, ["doc", "text_hash"]).select("doc", "text_hash", "text", "places")
+    strings = staged(near.mapInArrow(_strings, columns), "suffix-strings")
     firsts = strings.groupBy("k1", "k2").agg(F.min(F.struct("doc", "text_hash", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
     later = strings.join(firsts.where("n > 1"), ["k1", "k2"]).where(F.struct("doc", "text_hash", "at") > F.col("first"))
     return later.groupBy("doc", "text_hash").agg(F.collect_list("at").alias("starts")).mapInArrow(_cover_strings, FOUND_SCHEMA)
