@@ -38,8 +38,8 @@ FOLDS = 10
 #: Documents of this remainder are scored only; of the next, deleted to learn the weights.
 HELD_OUT, DELETED = 0, 1
 #: Tokens of a block and n-gram entries of a bucket: what one Python task holds.
-BLOCK = 1_600_000
-BUCKET_ENTRIES = 1_300_000
+BLOCK = 1_300_000
+BUCKET_ENTRIES = 1_000_000
 #: Buckets of the context frequency: 0, 1, 2-3, 4-7, ...
 CONTEXTS = 20
 #: Bits of an n-gram's key beyond those of the number of tokens: another n-gram has the same key with a chance of 2**-20.
