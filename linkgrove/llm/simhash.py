@@ -121,14 +121,15 @@ def links(fps: DataFrame) -> DataFrame:
     """(u, v): pairs u < v of different fingerprints within THRESHOLD bits, each at most once a half.
 
     `fps` has distinct `fp`. The comparison is part of the join, so only true links
-    leave it; skewed anchors are split by AQE, as both sides are plain exchanges.
+    leave it. The hint keeps both sides plain exchanges, whose skewed anchors AQE splits:
+    Spark's estimate leaves out that a row becomes 17, and would broadcast them all.
     """
     halves = _halves(fps)
     left = halves.select(F.col("fp").alias("u"), "side", home_anchor(F.col("half")).alias("anchor"))
     right = halves.select(F.col("fp").alias("v"), "side", F.explode(near_anchors(F.col("half"))).alias("anchor"))
     close = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= THRESHOLD)
     return (
-        left.join(right, (left["side"] == right["side"]) & (left["anchor"] == right["anchor"]) & close)
+        left.join(right.hint("merge"), (left["side"] == right["side"]) & (left["anchor"] == right["anchor"]) & close)
         .select("u", "v")
         .distinct()
     )

@@ -62,6 +62,15 @@ def test_no_link_is_missed(spark):
     assert got == expect
 
 
+def test_anchors_are_never_broadcast(spark, tmp_path):
+    """A table of fingerprints that is small on disk has 17 anchors a row, too many for the driver."""
+    spark.range(5000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
+    frame = simhash.links(spark.read.parquet(str(tmp_path / "fps")))
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_anchor_count(spark):
     row = spark.range(2000).select(F.size(simhash.near_anchors(F.xxhash64("id").bitwiseAND(F.lit(0xFFFFFFFF))))).toPandas()
     assert set(row.iloc[:, 0]) <= {2, 17}
