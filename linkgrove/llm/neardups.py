@@ -1,4 +1,10 @@
-"""Near-duplicate groups by the exact Jaccard similarity of word shingles.
+"""Near-duplicate groups by SimHash anchors and the exact Jaccard similarity of word shingles.
+
+Every set of five-word shingles has a 64-bit SimHash, and fingerprints meet at the anchor
+points of the covering code of `simhash`. A fingerprint meets the leaders of its anchors,
+the nearest few of these are compared by whole sets, and what is similar is one group.
+Sets of similarity 0.8 may differ in more bits than any affordable anchors span, so what
+the fingerprints did not join is then found by prefix filtering, between groups only.
 
 Prefix filtering: let all shingles have one order. Of two sets of similarity 0.8 or more
 the smaller has one of its first `index_size` shingles among the first `probe_size` of
@@ -9,7 +15,7 @@ comparison unless nearly all of a text is stock. Candidates then meet by their p
 sketches, 512 bits that differ in no more places than the sets have different members,
 and what is left by whole sets.
 
-Equal sets are one node. In a few rounds a node meets a few partners, each the leader that
+Equal sets are one node. In a few more rounds a node meets a few partners, each the leader that
 chance gives to a shingle, which joins large groups of copies by about as many comparisons
 as they have members; after that all candidate pairs of different components are compared.
 """
@@ -24,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkgrove.llm import simhash
 from linkgrove.llm.common import LOWER, UPPER, free_shuffles, maybe_broadcast, staged, unstage
 from linkgrove.operators.components import components
 
@@ -37,6 +44,8 @@ SAMPLE, OFTEN = 8, 8
 MOST_FREQUENT = 200_000
 #: Rounds before all candidate pairs are compared, and partners that a text meets in each.
 ROUNDS, PARTNERS = 3, 3
+#: Most bits in which fingerprints that meet at an anchor may differ.
+WITHIN = 16
 #: Words of 64 bits in a parity sketch.
 SKETCH = 8
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -82,11 +91,15 @@ def _index_size(n: Column) -> Column:
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, id, text) to (row, id, mark): a hash of the row's set."""
+    """(row, id, text) to (row, id, mark, fp): a hash and the SimHash of the row's set."""
     for batch in batches:
-        marks = [xxhash.xxh64_intdigest(shingle_set(t.as_py()).tobytes(), SEED) for t in batch.column(2)]
+        marks, fps = np.empty((2, batch.num_rows), np.uint64)
+        for k, t in enumerate(batch.column(2)):
+            shingles = shingle_set(t.as_py())
+            marks[k], fps[k] = xxhash.xxh64_intdigest(shingles.tobytes(), SEED), simhash.of_hashes(shingles)
         yield pa.record_batch(
-            [batch.column(0), batch.column(1), pa.array(np.array(marks, np.uint64).view(np.int64))], names=["_row", "_id", "_mark"]
+            [batch.column(0), batch.column(1), pa.array(marks.view(np.int64)), pa.array(fps.view(np.int64))],
+            names=["_row", "_id", "_mark", "_fp"],
         )
 
 
@@ -188,8 +201,22 @@ def _meet(probes: DataFrame, partners: DataFrame) -> DataFrame:
     )
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """(u, v): links of (node, text) rows, as many as join each group of similar sets."""
+def anchored(prints: DataFrame) -> DataFrame:
+    """(u, v): candidate pairs u < v of (node, fp) rows: the nearest few fingerprints met at anchors, and equal ones."""
+    first = staged(prints.groupBy("fp").agg(F.min("node").alias("first")), "near-prints")
+    spread = first.select("fp").repartition(max(1, -(-first.count() // simhash.NODES_A_TASK)), "fp")
+    far = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
+    best = Window.partitionBy("u").orderBy(far, F.xxhash64("v"))
+    met = simhash.leaders(spread, WITHIN).withColumn("at", F.row_number().over(best)).where(F.col("at") <= PARTNERS)
+    met = met.join(first.select(F.col("fp").alias("u"), F.col("first").alias("node")), "u")
+    met = met.join(first.select(F.col("fp").alias("v"), F.col("first").alias("other")), "v").select("node", "other")
+    same = prints.join(first, "fp").where("node <> first").select("node", F.col("first").alias("other"))
+    both = met.unionByName(same)
+    return both.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+
+
+def links(texts: DataFrame, prints: DataFrame) -> DataFrame:
+    """(u, v): links of (node, text) rows, as many as join each group of similar sets; `prints` has (node, fp)."""
     shape = "node long, n int, i int, h long"
     sample = texts.where(F.xxhash64("text") % SAMPLE == 0).mapInArrow(_heads(lambda s: s), shape)
     often = sample.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= OFTEN)
@@ -211,14 +238,16 @@ def links(texts: DataFrame) -> DataFrame:
         _among(texts, heads.select("node")).mapInArrow(_sketches, f"node long, n int, {', '.join(f'{c} long' for c in _BITS)}"), "near-sketches"
     )
 
-    found = texts.sparkSession.createDataFrame([], "u long, v long")
-    now = None
+    # first what meets by fingerprint; only nodes that share a shingle have sketches, others are similar to none
+    pairs = staged(anchored(prints), "near-anchored")
+    free_shuffles(texts.sparkSession)
+    found = staged(_similar(pairs, sketches, texts), "near-links")
+    unstage(pairs)
+    free_shuffles(texts.sparkSession)
+    now = components(found, "near-components")
     for turn in range(ROUNDS + 1):
-        if now is None:
-            places = heads.withColumn("c", F.col("node"))
-        else:
-            moved = maybe_broadcast(now, now.count())
-            places = heads.join(moved, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        moved = maybe_broadcast(now, now.count())
+        places = heads.join(moved, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         one = F.struct("node", "n", "i", "c").alias("l")
         # only shingles that still lie in more than one component
         wide = places.groupBy("h").agg(
@@ -257,14 +286,14 @@ def keep_first(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("_row"))
     own = staged(rows, "near-rows")
     plain = own.select("_row", F.col("row.doc_id").cast("long").alias("_id"), F.col("row.text").cast("string").alias("text"))
-    marks = staged(plain.mapInArrow(_marks, "_row long, _id long, _mark long"), "near-nodes")
+    marks = staged(plain.mapInArrow(_marks, "_row long, _id long, _mark long, _fp long"), "near-nodes")
     first = F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "_row")).alias("first")
-    nodes = staged(marks.groupBy("_mark").agg(first), "near-firsts")
+    nodes = staged(marks.groupBy("_mark").agg(first, F.min("_fp").alias("fp")), "near-firsts")
     # nodes whose rows are copies of another row drop out; what is left of the texts is read where it lies
     extra = staged(marks.join(nodes.select("first._row"), "_row", "left_anti").select("_row"), "near-copies")
     rest = plain.join(maybe_broadcast(extra, extra.count()), "_row", "left_anti")
     texts = rest.select(F.col("_row").alias("node"), "text")
-    reach = components(links(texts), "near-components")
+    reach = components(links(texts, nodes.select(F.col("first._row").alias("node"), "fp")), "near-components")
     groups = nodes.join(reach, F.col("first._row") == F.col("node"), "left").select(
         "first", F.coalesce("component", "first._row").alias("root")
     )

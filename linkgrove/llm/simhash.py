@@ -54,10 +54,23 @@ def fingerprint(text: str | None) -> int:
             shingles = map(b" ".join, zip(part, part[1:], part[2:], strict=False))
         hashes = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return _over_half(ones, total)
+
+
+def _over_half(ones: np.ndarray, total: int) -> int:
     bits = (ones * 2 > total).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """64-bit SimHash of shingles that are hashed already; none: 0."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), SLICE):
+        part = np.ascontiguousarray(hashes[at : at + SLICE], "<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return _over_half(ones, len(hashes))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1)
@@ -117,6 +130,24 @@ def _halves(fps: DataFrame) -> DataFrame:
     ])).alias("x")).select("fp", "x.side", "x.half")
 
 
+def leaders(fps: DataFrame, within: int) -> DataFrame:
+    """(u, v): each fingerprint u with the leaders v, within so many bits, of the anchors that it lies near.
+
+    `fps` has distinct `fp`. One fingerprint leads all that have an anchor for their home,
+    so a large group of near copies makes at most 34 pairs a member. Two fingerprints
+    within three bits meet if no third shares their anchors; further ones by chance.
+    """
+    halves = _halves(fps)
+    lead = (
+        halves.select("side", home_anchor(F.col("half")).alias("anchor"), "fp")
+        .groupBy("side", "anchor")
+        .agg(F.min_by("fp", F.xxhash64("fp")).alias("v"))
+    )
+    near = halves.select(F.col("fp").alias("u"), "side", F.explode(near_anchors(F.col("half"))).alias("anchor"))
+    close = (F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= within)
+    return near.hint("merge").join(lead, ["side", "anchor"]).where(close).select("u", "v").distinct()
+
+
 def links(fps: DataFrame) -> DataFrame:
     """(u, v): pairs u < v of different fingerprints within THRESHOLD bits, each at most once a half.
 

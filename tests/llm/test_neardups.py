@@ -5,7 +5,7 @@ from itertools import combinations
 import corpus_pipeline
 import numpy as np
 import pytest
-from linkgrove.llm import neardups
+from linkgrove.llm import neardups, simhash
 from pyspark.sql import functions as F
 
 
@@ -86,6 +86,38 @@ def test_odd_rows(odd, odd_rows, none):
     assert ids == sorted((min((d for d in g if d is not None), default=None) for g in groups), key=str)
 
 
+def test_stage_joins_by_fingerprint_first(spark, monkeypatch):
+    """Near copies whose SimHashes differ in up to three bits meet at anchors, before any prefix is compared."""
+    rng = random.Random(11)
+    texts, bits = [], []
+    for _ in range(60):
+        ws = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+        texts += [" ".join(ws), " ".join([*ws[:-1], "edited"])]
+    for a, b in zip(texts[::2], texts[1::2], strict=True):
+        x, y = (simhash.of_hashes(neardups.shingle_set(t)) for t in (a, b))
+        bits.append((x ^ y).bit_count())
+    made = {}
+    staged = neardups.staged
+
+    def spy(df, name, *more):
+        out = staged(df, name, *more)
+        if name in ("near-anchored", "near-links"):
+            made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(neardups, "staged", spy)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()} == set(range(0, 120, 2))
+    assert made["near-anchored"][0] >= made["near-links"][0] >= sum(b <= 3 for b in bits) > 50
+
+
+def test_fingerprints_of_hashes():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 5, 64):
+        hs = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        assert simhash.of_hashes(hs) == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hs) > n)
+
+
 def test_prefix_and_sets():
     assert [neardups.probe_size(n) for n in (0, 1, 4, 5, 9, 10, 30)] == [0, 1, 1, 2, 2, 3, 7]
     for text in (None, "", "one", "a b c d e", "a b c d e a b c d e a", "x " * 50):
