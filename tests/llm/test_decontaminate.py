@@ -219,3 +219,10 @@ def test_odd_rows(odd, none, spark, data):
     bench = spark.createDataFrame([(1, "a row without id one common line here two common line here")], "item_id long, text string")
     left = dc.drop_leaks(odd, bench)
     assert left.where("doc_id is null").count() == 1 and left.count() < odd.count()
+
+
+def test_rows_stay_out_of_python(spark, odd):
+    """A pass sends texts to Python and gets flags back; the rows with their other columns stay in the executor's heap."""
+    bench = spark.createDataFrame([(1, "one common line here and some words more")], "item_id long, text string")
+    plan = dc.drop_leaks(odd, bench)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan
