@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkgrove.llm import decontaminate, linededup, neardups, packing, quality
-from linkgrove.llm.common import staged
+from linkgrove.llm.common import free_shuffles, passing
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what a stage returns is written and read again by the next."""
+    """All stages over `documents`; what a stage returns is written and read again by the next, and then goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = passing(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        free_shuffles(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

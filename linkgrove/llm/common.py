@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgrove.storage import free_shuffles, maybe_broadcast, new_path, shared_dir, staged, unstage
+from linkgrove.storage import few_files, free_shuffles, maybe_broadcast, new_path, passing, shared_dir, staged, unstage
 
 #: ASCII white space, 0x09-0x0D and 0x20; words are runs of anything else.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -32,6 +32,6 @@ def crc32(col: Column) -> Column:
 
 
 __all__ = [
-    "LOWER", "SPACE_CLASS", "UPPER", "bind", "crc32", "free_shuffles", "maybe_broadcast", "new_path", "shared_dir", "staged", "table",
-    "unstage", "words",
+    "LOWER", "SPACE_CLASS", "UPPER", "bind", "crc32", "few_files", "free_shuffles", "maybe_broadcast", "new_path", "passing",
+    "shared_dir", "staged", "table", "unstage", "words",
 ]

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkgrove.llm import simhash
-from linkgrove.llm.common import LOWER, UPPER, free_shuffles, maybe_broadcast, staged, unstage
+from linkgrove.llm.common import LOWER, UPPER, few_files, free_shuffles, maybe_broadcast, passing, staged, unstage
 from linkgrove.operators.components import components
 
 SEED = 42
@@ -147,11 +147,11 @@ _BITS = [f"b{k}" for k in range(SKETCH)]
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(t.as_py()) for t in batch.column(1)]
-        bits = np.array([sketch(s) for s in sets], np.int64).reshape(len(sets), SKETCH)
-        yield pa.record_batch(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), *map(pa.array, bits.T.copy())], names=["node", "n", *_BITS]
-        )
+        sizes, bits = np.empty(batch.num_rows, np.int32), np.empty((SKETCH, batch.num_rows), np.int64)
+        for k, t in enumerate(batch.column(1)):  # one set at a time, as a batch may have 10,000 texts
+            shingles = shingle_set(t.as_py())
+            sizes[k], bits[:, k] = len(shingles), sketch(shingles)
+        yield pa.record_batch([batch.column(0), pa.array(sizes), *map(pa.array, bits)], names=["node", "n", *_BITS])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +162,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
 
-def _among(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    nodes = staged(nodes.distinct(), "near-among")
+def _among(texts: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
+    """The texts of the given nodes, at most `rows`."""
+    nodes = staged(few_files(nodes.distinct(), rows), "near-among")
     return texts.join(maybe_broadcast(nodes, nodes.count()), "node", "left_semi")
 
 
@@ -176,10 +177,10 @@ def _similar(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFra
 
     differ = sum((F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) for c in _BITS), F.lit(0))
     may = differ <= F.col("u_n") + F.col("v_n") - 2 * _shared("u_n", "v_n")
-    close = staged(pairs.join(side("u"), "u").join(side("v"), "v").where(may).select("u", "v"), "near-close")
-    sets = _among(texts, close.select(F.col("u").alias("node")).unionByName(close.select(F.col("v").alias("node")))).mapInArrow(
-        _sets, "node long, s array<long>"
-    )
+    close = pairs.join(side("u"), "u").join(side("v"), "v").where(may).select("u", "v")
+    close = staged(few_files(close, pairs.count()), "near-close")
+    ends = close.select(F.col("u").alias("node")).unionByName(close.select(F.col("v").alias("node")))
+    sets = _among(texts, ends, 2 * close.count()).mapInArrow(_sets, "node long, s array<long>")
     left = sets.select(F.col("node").alias("u"), F.col("s").alias("u_s"))
     right = sets.select(F.col("node").alias("v"), F.col("s").alias("v_s"))
     both = F.size(F.array_intersect("u_s", "v_s"))
@@ -201,9 +202,9 @@ def _meet(probes: DataFrame, partners: DataFrame) -> DataFrame:
     )
 
 
-def anchored(prints: DataFrame) -> DataFrame:
-    """(u, v): candidate pairs u < v of (node, fp) rows: the nearest few fingerprints met at anchors, and equal ones."""
-    first = staged(prints.groupBy("fp").agg(F.min("node").alias("first")), "near-prints")
+def anchored(prints: DataFrame, rows: int) -> DataFrame:
+    """(u, v): candidate pairs u < v of so many (node, fp) rows: the nearest few fingerprints met at anchors, and equal ones."""
+    first = staged(few_files(prints.groupBy("fp").agg(F.min("node").alias("first")), rows), "near-prints")
     spread = first.select("fp").repartition(max(1, -(-first.count() // simhash.NODES_A_TASK)), "fp")
     far = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
     best = Window.partitionBy("u").orderBy(far, F.xxhash64("v"))
@@ -234,14 +235,15 @@ def links(texts: DataFrame, prints: DataFrame) -> DataFrame:
     unstage(every)
     unstage(repeated)
     free_shuffles(texts.sparkSession)
+    nodes = prints.count()
     sketches = staged(
-        _among(texts, heads.select("node")).mapInArrow(_sketches, f"node long, n int, {', '.join(f'{c} long' for c in _BITS)}"), "near-sketches"
+        _among(texts, heads.select("node"), nodes).mapInArrow(_sketches, f"node long, n int, {', '.join(f'{c} long' for c in _BITS)}"), "near-sketches"
     )
 
     # first what meets by fingerprint; only nodes that share a shingle have sketches, others are similar to none
-    pairs = staged(anchored(prints), "near-anchored")
+    pairs = staged(few_files(anchored(prints, nodes), (PARTNERS + 1) * nodes), "near-anchored")
     free_shuffles(texts.sparkSession)
-    found = staged(_similar(pairs, sketches, texts), "near-links")
+    found = staged(few_files(_similar(pairs, sketches, texts), pairs.count()), "near-links")
     unstage(pairs)
     free_shuffles(texts.sparkSession)
     now = components(found, "near-components")
@@ -260,11 +262,11 @@ def links(texts: DataFrame, prints: DataFrame) -> DataFrame:
         else:
             open_ = places.join(wide.select("h"), "h", "left_semi")
             met = _meet(open_, open_.select("h", one)).where("node < other")
-        pairs = staged(
-            met.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct(), "near-candidates"
-        )
+        pairs = met.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+        # a round has few pairs a node, the last step any number
+        pairs = staged(few_files(pairs, PARTNERS * nodes) if turn < ROUNDS else pairs, "near-candidates")
         free_shuffles(texts.sparkSession)
-        new = staged(_similar(pairs, sketches, texts), "near-links")
+        new = staged(few_files(_similar(pairs, sketches, texts), pairs.count()), "near-links")
         found = found.unionByName(new)
         unstage(pairs)
         free_shuffles(texts.sparkSession)
@@ -284,7 +286,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     one stays, and a null doc_id stays only where its group has no other.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("_row"))
-    own = staged(rows, "near-rows")
+    own = passing(rows, "near-rows")
     plain = own.select("_row", F.col("row.doc_id").cast("long").alias("_id"), F.col("row.text").cast("string").alias("text"))
     marks = staged(plain.mapInArrow(_marks, "_row long, _id long, _mark long, _fp long"), "near-nodes")
     first = F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "_row")).alias("first")

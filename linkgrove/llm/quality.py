@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkgrove.llm.common import LOWER, UPPER, bind, maybe_broadcast, staged, table, words
+from linkgrove.llm.common import LOWER, UPPER, bind, maybe_broadcast, passing, staged, table, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -193,7 +193,7 @@ def fences(metrics: DataFrame) -> DataFrame:
 
 
 def _judged(docs: DataFrame, rows: bool) -> DataFrame:
-    metrics = staged(text_metrics(docs, rows), "quality-metrics")
+    metrics = passing(text_metrics(docs, rows), "quality-metrics")
     limits = staged(fences(metrics), "quality-fences").select(
         F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), F.col("*")
     ).drop("lang", "source")

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Rows of one file of a staged table whose size is known beforehand; rows are short.
 ROWS_A_FILE = 500_000
+#: Rows of one file of a table that is dealt out anew; few, so that tasks stay many.
+SHORT_ROWS_A_FILE = 20_000
+#: Tables of `passing`: path and a weak reference to the listing of files that every plan over the table holds.
+_unread: list[tuple[str, object]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,6 +75,34 @@ def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return out
 
 
+def passing(df: DataFrame, name: str) -> DataFrame:
+    """Like `staged`, but the table goes once no plan can read it any more, at a later `passing` or `free_shuffles`.
+
+    For wide tables that a lazy result still reads when its operator has long returned.
+    """
+    spark = df.sparkSession
+    drop_unread(spark)
+    out = staged(df, name)
+    listing = out._jdf.queryExecution().analyzed().relation().location()
+    _unread.append((out.stage_path, spark.sparkContext._jvm.java.lang.ref.WeakReference(listing)))
+    return out
+
+
+def drop_unread(spark: SparkSession) -> None:
+    """Drop the tables of `passing` whose plans the driver has collected."""
+    for entry in [e for e in _unread if e[1].refersTo(None)]:
+        _unread.remove(entry)
+        drop_path(spark, entry[0])
+
+
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """At most `rows` short rows dealt out anew, to stage as few files as they fill, whatever the number of shuffle partitions.
+
+    For each file that Hadoop writes to a local folder, an executor starts processes that set its permissions.
+    """
+    return df.repartition(max(1, -(-rows // SHORT_ROWS_A_FILE)))
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         drop_path(spark, path)
@@ -84,7 +116,7 @@ def unstage(df: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more.
+    """Let Spark drop the shuffle files, and tables of `passing`, of plans that nothing refers to any more.
 
     Spark notices unused shuffles only when the driver collects garbage, which a
     driver with little to do may not do for long. Python's references reach the JVM
@@ -94,6 +126,7 @@ def free_shuffles(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
+    drop_unread(spark)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,8 +1,9 @@
 import corpus_pipeline
 import duckdb
 import numpy as np
+from linkgrove import storage
 from linkgrove.llm import decontaminate as dc
-from linkgrove.llm import oracles
+from linkgrove.llm import neardups, oracles
 
 from test_native import brute_lines
 from test_neardups import brute_groups
@@ -51,3 +52,46 @@ def test_stages_on_odd_rows(spark, data, odd):
         assert got.columns == odd.columns
         assert {tuple(r) for r in got.drop("text", "n_chars").collect()} <= rows
     assert corpus_pipeline.STAGES[-1][1](spark, odd, data).select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
+
+
+def test_wide_tables_go_with_their_plans(spark, data):
+    """What a stage's result reads stays as long as the result and no longer."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for stage, name in ((corpus_pipeline.quality_rules, "quality-metrics"), (corpus_pipeline.simhash_dedup, "near-rows")):
+        kind = f"{storage.shared_dir(spark)}/linkgrove/{name}-*"
+        storage.free_shuffles(spark)
+        before = storage.list_paths(spark, kind)
+        got = stage(spark, docs, data)
+        storage.free_shuffles(spark)
+        assert len(set(storage.list_paths(spark, kind)) - set(before)) == 1 and got.count()
+        copy = storage.staged(got, "copy")
+        rows = got.count()
+        del got
+        for _ in range(3):  # Spark may hold the last plans for a while
+            storage.free_shuffles(spark)
+            spark.range(1).count()
+        assert set(storage.list_paths(spark, kind)) <= set(before) and copy.count() == rows
+
+
+def test_links_are_few_files(spark, data, monkeypatch):
+    """Files follow the rows of a link table, not the shuffle partitions, of which check runs have hundreds."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    staged, files = neardups.staged, {}
+
+    def spy(df, name, *more):
+        out = staged(df, name, *more)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(neardups, "staged", spy)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        corpus_pipeline.simhash_dedup(spark, docs, data)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    short = ("near-prints", "near-among", "near-anchored", "near-close", "near-links")
+    assert all(n == 1 for name in short for n in files[name])
