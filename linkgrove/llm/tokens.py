@@ -10,8 +10,12 @@ most frequent.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
+import threading
+import time
 import unicodedata
 from collections import defaultdict
 from collections.abc import Sequence
@@ -24,6 +28,8 @@ import pyarrow.compute as pc
 #: Pieces that a worker keeps, and those that stay when these are too many: its memory bound.
 CACHE_PIECES = 800_000
 KEEP_PIECES = 400_000
+#: Seconds without use after which a worker gives up its encoders: Spark keeps workers for the stages that follow.
+IDLE = 5.0
 #: Pieces of one call of the library.
 CALL = 4096
 #: White space that is no single blank or newline, or control characters: no cutting.
@@ -189,13 +195,37 @@ class Encoder:
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_LOCK = threading.Lock()
+_last_use = 0.0
+
+
+def _used() -> None:
+    global _last_use
+    _last_use = time.monotonic()
+
+
+def _give_up() -> None:
+    """Waits until the encoders are idle, then frees them; what a running task holds stays with it."""
+    while (left := _last_use + IDLE - time.monotonic()) > 0:
+        time.sleep(left)
+    with _LOCK:
+        _ENCODERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc, which else keeps what is freed
+    if trim:
+        trim(0)
 
 
 def encoder(path: str, joined: bool) -> Encoder:
-    """This worker's encoder for a vocabulary file, kept from task to task."""
-    if (path, joined) not in _ENCODERS:
-        _ENCODERS[path, joined] = Encoder(path, joined)
-    return _ENCODERS[path, joined]
+    """This worker's encoder for a vocabulary file, kept from task to task until it is idle."""
+    _used()
+    with _LOCK:
+        if not _ENCODERS:
+            threading.Thread(target=_give_up, daemon=True).start()
+        if (path, joined) not in _ENCODERS:
+            _ENCODERS[path, joined] = Encoder(path, joined)
+        return _ENCODERS[path, joined]
 
 
 def encoded(enc: Encoder, ids, texts, size: int = 1 << 21):
@@ -208,4 +238,5 @@ def encoded(enc: Encoder, ids, texts, size: int = 1 << 21):
         held += len(waiting[-1] or "")
         if held >= size or k == len(keys) - 1:
             yield from zip(keys[at : k + 1], enc.encode_many(waiting), strict=True)
+            _used()
             at, held, waiting = k + 1, 0, []

@@ -145,3 +145,18 @@ def test_random_access_and_damage(tmp_path):
         import pyarrow as pa
 
         tokenfiles.FrameReader(pa.OSFile(str(tmp_path / "short")))
+
+
+def test_idle_encoders_go(monkeypatch):
+    """Spark keeps workers for later stages, which then have no use for the vocabulary and its cache."""
+    import time
+
+    from linkgrove.llm import tokens
+
+    monkeypatch.setattr(tokens, "IDLE", 0.2, raising=False)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = tokens.encoder(path, False).encode("some words").tolist()
+    until = time.monotonic() + 20
+    while tokens._ENCODERS and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not tokens._ENCODERS and tokens.encoder(path, False).encode("some words").tolist() == ids
