@@ -5,12 +5,16 @@ one task that compares them block by block, so a task holds two groups of bounde
 and pairs leave it only if they are within the threshold. A sequence is sent once for
 each group, not for each block. Where lengths alone rule a pair out, groups are runs in
 the order of length, and pairs of groups that no length allows are never made.
+
+Kernels that need nanoseconds for a pair take `tiles`: a group is packed into one row and
+shuffled once, and a product of these rows reads it again for every tile.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,12 @@ from linkgrove.storage import staged
 BLOCK = 512
 #: Pairs of groups that are made if groups stay between BLOCK and the most sequences that a task holds twice.
 TILES, MOST = 4096, 16_384
+#: Pairs of groups of the fast kernels.
+FAST_TILES = 300
+#: Pairs that a fast kernel holds at once, and rows of a batch that leaves it.
+CELLS, ROWS = 131_072, 100_000
+#: Nanoseconds for a pair of sequences that share a k-mer by a list, and for a bit of any pair by words of 64 bits.
+LISTED, BIT = 10, 0.04
 #: Pairs that the alignment kernel takes at once.
 BATCH = 2048
 DETAILS = ("none", "gapstats", "cigar")
@@ -50,30 +60,174 @@ def kmer_pairs(seqs: DataFrame, udist_threshold: float, k: int = 8, presence: bo
 
     A k-mer counts as often as both sequences have it; `presence` counts it once. The
     possible number is that of the shorter sequence, of the larger distinct set with
-    `presence`. Pairs come from an equi-join on the k-mer, whose counts are aggregated
-    before; AQE splits k-mers that many sequences share.
+    `presence`. Pairs share one k-mer at least. They are counted tile by tile, so that only
+    those within the threshold are ever rows, however many sequences share a k-mer.
+    """
+    own = seqs.where(F.length("seq") >= k).select("seq_idx", "seq")
+    schema = "seq_idx1 long, seq_idx2 long, udist double"
+    return tiles(own).mapInArrow(on_tiles(_shared_kmers(udist_threshold, k, presence), schema), schema)
+
+
+def _tokens(seqs: list[str], k: int, presence: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, key) of every k-mer over A, C, G, T; a key is the k-mer's letters and which of its repeats it is.
+
+    Numbers of one call can be compared with each other only.
     """
-    words = seqs.select("seq_idx", F.length("seq").alias("len"), F.explode(kmers(F.col("seq"), k)).alias("kmer"))
-    counts = words.groupBy("kmer", "seq_idx", "len").agg(F.count(F.lit(1)).alias("n"))
+    text = np.frombuffer("\n".join(seqs).encode("ascii", "replace") + b"\n", np.uint8)
+    code = np.full(256, -1, np.int64)
+    code[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+    letters = code[text]
+    n = max(0, len(text) - k + 1)
+    valid = np.convolve(letters < 0, np.ones(k, np.int64))[k - 1 : k - 1 + n] == 0
+    at = np.flatnonzero(valid)
+    key = np.zeros(len(at), np.int64)
+    for done in range(0, k, 15):  # a number below the k-mers there are, then 15 letters
+        for i in range(done, min(k, done + 15)):
+            key = key * 4 + letters[at + i]
+        key = np.unique(key, return_inverse=True)[1]
+    seq = (np.cumsum(text == 10) - (text == 10))[at]
+    order = np.lexsort((key, seq))
+    seq, key = seq[order], key[order]
+    new = np.ones(len(seq), bool)
+    new[1:] = (seq[1:] != seq[:-1]) | (key[1:] != key[:-1])
     if presence:
-        sizes = counts.groupBy("seq_idx").agg(F.count(F.lit(1)).alias("len"))
-        counts = counts.drop("len", "n").join(sizes, "seq_idx").withColumn("n", F.lit(1).cast("long"))
-    a = counts.select("kmer", F.col("seq_idx").alias("seq_idx1"), F.col("len").alias("len1"), F.col("n").alias("n1"))
-    b = counts.select("kmer", F.col("seq_idx").alias("seq_idx2"), F.col("len").alias("len2"), F.col("n").alias("n2"))
-    shared = (
-        a.join(b, "kmer")
-        .where("seq_idx1 < seq_idx2")
-        .groupBy("seq_idx1", "seq_idx2", "len1", "len2")
-        .agg(F.sum(F.least("n1", "n2")).alias("shared"))
-    )
-    possible = F.greatest("len1", "len2") if presence else F.least("len1", "len2") - (k - 1)
-    udist = 1 - F.col("shared") / possible
-    return shared.select("seq_idx1", "seq_idx2", udist.alias("udist")).where(F.col("udist") <= udist_threshold)
+        return seq[new], key[new]
+    start = np.flatnonzero(new)
+    repeat = np.arange(len(seq)) - np.repeat(start, np.diff(np.append(start, len(seq))))
+    return seq, np.unique(key + (key.max(initial=0) + 1) * repeat, return_inverse=True)[1]
+
+
+def _shared_kmers(udist_threshold: float, k: int, presence: bool):
+    def run(one: pa.Table, two: pa.Table | None) -> Iterator[tuple]:
+        ids = [t.column("seq_idx").to_numpy() for t in (one, two or one)]
+        texts = [t.column("seq").to_pylist() for t in (one, two) if t is not None]
+        na, nb = len(ids[0]), len(ids[1])
+        seq, key = _tokens([s for t in texts for s in t], k, presence)
+        total = int(key.max(initial=-1)) + 1
+        left = seq < na
+        right = left if two is None else ~left
+        a, ka, b, kb = seq[left], key[left], seq[right] - (0 if two is None else na), key[right]
+        if presence:
+            size = np.bincount(a, minlength=na), np.bincount(b, minlength=nb)
+        else:
+            length = [np.array([len(s) for s in t], np.int64) for t in texts]
+            size = length[0] - (k - 1), length[-1] - (k - 1)
+        fa, fb = np.bincount(ka, minlength=total), np.bincount(kb, minlength=total)
+        # many pairs share a frequent k-mer, which is a bit of every sequence; a rare one lists its sequences
+        dense = fa * fb * LISTED > na * nb * BIT
+        place = np.cumsum(dense) - 1
+        words = -(-int(dense.sum()) // 64)
+
+        def bits(rows: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+            out = np.zeros((words, n), np.uint64)
+            own = dense[keys]
+            at = place[keys[own]]
+            np.bitwise_or.at(out, (at // 64, rows[own]), np.uint64(1) << (at % 64).astype(np.uint64))
+            return out
+
+        wa, wb = bits(a, ka, na), bits(b, kb, nb)
+        order = np.argsort(kb, kind="stable")
+        lists, begin = b[order], np.cumsum(fb) - fb
+        rare = ~dense[ka] & (fb[ka] > 0)
+        ra, rk = a[rare], ka[rare]
+        step = max(1, CELLS // max(1, nb))
+        kind = np.uint8 if np.bincount(a, minlength=1).max() < 256 else np.uint32
+        # the fewest that a sequence of this size needs, less a hair; pairs that have them are compared exactly
+        need = [np.clip(np.floor((1 - udist_threshold) * n - 1e-9), 1, np.iinfo(kind).max).astype(kind) for n in size]
+        pick = np.maximum if presence else np.minimum
+        shared_, both_, few_ = (np.empty((min(step, na), nb), t) for t in (kind, np.uint64, np.uint8))
+        for lo in range(0, na, step):
+            hi = min(na, lo + step)
+            shared, both, few = shared_[: hi - lo], both_[: hi - lo], few_[: hi - lo]
+            shared[:] = 0
+            for w in range(words):
+                np.bitwise_and(wa[w, lo:hi, None], wb[w], out=both)
+                np.bitwise_count(both, out=few)
+                np.add(shared, few, out=shared)
+            x, y = np.searchsorted(ra, (lo, hi))
+            cuts = x + 1 + np.flatnonzero(np.diff(np.cumsum(fb[rk[x:y]]) // ROWS))
+            for p, q in pairwise((x, *cuts, y)):  # lists of some ROWS places at once
+                n = fb[rk[p:q]]
+                places = lists[np.repeat(begin[rk[p:q]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                shared += np.bincount(np.repeat((ra[p:q] - lo) * nb, n) + places, minlength=shared.size).reshape(shared.shape).astype(kind)
+            i, j = np.divmod(np.flatnonzero(shared >= pick(need[0][lo:hi, None], need[1])), nb)
+            if two is None:
+                i, j = i[lo + i < j], j[lo + i < j]
+            udist = 1 - shared[i, j] / pick(size[0][lo + i], size[1][j])
+            near = udist <= udist_threshold
+            yield (*in_order(ids[0][lo + i[near]], ids[1][j[near]]), udist[near])
+
+    return run
+
+
+def in_order(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.minimum(one, two), np.maximum(one, two)
+
+
+def group_size(rows: int, block: int = BLOCK, pairs: int = TILES) -> int:
+    """Sequences of a group, so that about so many pairs of groups arise."""
+    return max(block, min(MOST, math.ceil(rows / math.sqrt(2 * pairs))))
+
+
+def _packed(df: DataFrame, block: int, key: str) -> tuple[DataFrame, int]:
+    """(at, rows): each group's rows, as Arrow, in one row; and how many groups there are."""
+    n = max(1, -(-(rows := df.count()) // group_size(rows, block, FAST_TILES)))
+    names = df.columns
+
+    def pack(table: pa.Table) -> pa.Table:
+        own = table.select(names).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, own.schema) as out:
+            out.write_table(own)
+        return pa.table({"at": table.column("at")[:1], "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    dealt = df.withColumn("at", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    return dealt.groupBy("at").applyInArrow(pack, "at int, rows binary").repartition(n), n
+
+
+def tiles(left: DataFrame, right: DataFrame | None = None, block: int = BLOCK, key: str = "seq_idx") -> DataFrame:
+    """(lo, one, hi, two): every pair of groups of one or two sets, for on_tiles.
+
+    Rows are shuffled once, in their group; the product reads each group again for each
+    task and writes nothing.
+    """
+    a, _ = _packed(left, block, key)
+    b = a if right is None else _packed(right, block, key)[0]
+    one = a.select(F.col("at").alias("lo"), F.col("rows").alias("one")).hint("shuffle_replicate_nl")
+    two = b.select(F.col("at").alias("hi"), F.col("rows").alias("two"))
+    return one.join(two, F.col("lo") <= F.col("hi")) if right is None else one.crossJoin(two.withColumn("hi", F.lit(-1)))
+
+
+def on_tiles(kernel: Callable[[pa.Table, pa.Table | None], Iterator[tuple]], schema: str):
+    """A function for mapInArrow over `tiles`; the kernel gives columns, without the second table for a group with itself.
+
+    Batches leave as they fill, so no task holds all pairs of its tile.
+    """
+
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def table(value) -> pa.Table:
+        return pa.ipc.open_stream(value.as_buffer()).read_all()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, one, hi, two in zip(*(batch.column(c) for c in ("lo", "one", "hi", "two")), strict=True):
+                held: list[tuple] = []
+                for columns in kernel(table(one), None if lo == hi else table(two)):
+                    if len(columns[0]):
+                        held.append(columns)
+                    if sum(len(c[0]) for c in held) >= ROWS:
+                        yield _joined(held, names)
+                        held = []
+                if held:
+                    yield _joined(held, names)
+
+    return run
 
 
-def group_size(rows: int, block: int = BLOCK) -> int:
-    """Sequences of a group, so that about TILES pairs of groups arise."""
-    return max(block, min(MOST, math.ceil(rows / math.sqrt(2 * TILES))))
+def _joined(held: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = [np.concatenate(c) if isinstance(c[0], np.ndarray) else pa.concat_arrays(c) for c in zip(*held, strict=True)]
+    return pa.record_batch([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=names)
 
 
 def block_pairs(seqs: DataFrame, block: int = BLOCK, shorter: float | None = None) -> DataFrame:

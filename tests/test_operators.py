@@ -419,6 +419,41 @@ def test_kmer_pairs(spark):
     assert {(r.seq_idx1, r.seq_idx2): r.udist for r in dm.kmer_pairs(df, 0.5, presence=True).collect()}[0, 1] == 0
 
 
+def bag(seq, k, presence):
+    words = [w for w in (seq[i : i + k] for i in range(len(seq) - k + 1)) if set(w) <= set("ACGT")]
+    return {w: 1 if presence else words.count(w) for w in words}
+
+
+def test_kmers_that_all_sequences_share(spark):
+    """No row for each pair that shares a k-mer: the plan joins packed groups only, and the counts are those of bags."""
+    rng = random.Random(5)
+    seqs = ["ACGTACGTAACC" + "".join(rng.choice("ACGTACGT-n") for _ in range(rng.randrange(20, 60))) for _ in range(40)]
+    seqs += ["A" * 400, "A" * 350 + "C", "é" + seqs[0], None, "", "ACG"]
+    df = spark.createDataFrame([(3 * i, s) for i, s in enumerate(seqs)], "seq_idx long, seq string")
+    for k, presence, t in ((5, False, 0.6), (5, True, 0.8), (33, False, 0.999), (4, False, 1.0)):
+        bags = {3 * i: bag(s, k, presence) for i, s in enumerate(seqs) if s}
+        want = {}
+        for (i, a), (j, b) in itertools.combinations(bags.items(), 2):
+            shared = sum(min(n, b.get(w, 0)) for w, n in a.items())
+            size = max(len(a), len(b)) if presence else min(len(seqs[i // 3]), len(seqs[j // 3])) - (k - 1)
+            if shared and 1 - shared / size <= t:
+                want[i, j] = 1 - shared / size
+        found = dm.kmer_pairs(df, t, k, presence)
+        assert want and {(r.seq_idx1, r.seq_idx2): r.udist for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "Generate" not in plan
+
+
+def test_tiles_make_every_pair_once(spark, monkeypatch):
+    """Several groups, lists and bits, give the pairs of one group."""
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("ACGT") for _ in range(40))) for i in range(90)]
+    df = spark.createDataFrame(rows, "seq_idx long, seq string")
+    whole = sorted(map(tuple, dm.kmer_pairs(df, 0.97, 4).collect()))
+    monkeypatch.setattr(dm, "group_size", lambda rows, block=1, pairs=1: 20)
+    assert whole and whole == sorted(map(tuple, dm.kmer_pairs(df, 0.97, 4).collect()))
+
+
 @pytest.mark.parametrize("config", [cf.EdlibDistance(), cf.HammingDistance()], ids=lambda c: c.method)
 def test_search_keeps_ties(spark, six, config):
     query = spark.createDataFrame([("q1", "ACGT"), ("q2", "ACCC"), ("q3", "TTTT")], "seq_id string, seq string")
