@@ -64,7 +64,7 @@ def hamming_distance(a: Column, b: Column, config: HammingDistance | None = None
 
 def encode(seqs: list[str]) -> np.ndarray:
     """(sequences x width) byte matrix of the aligned letters; 0 where not valid."""
-    kept = ["".join(c for c in s if not c.islower()) for s in seqs]
+    kept = [s if s.isascii() and s.upper() == s else "".join(c for c in s if not c.islower()) for s in seqs]
     width = max(map(len, kept), default=0)
     if any(len(k) != width for k in kept):
         raise ValueError("aligned sequences must have one length")
@@ -98,6 +98,62 @@ def one_to_many(one: np.ndarray, many: np.ndarray, config: HammingDistance) -> t
     return compared - (equal & used).sum(axis=1), compared
 
 
+def planes(grid: np.ndarray) -> np.ndarray:
+    """(4, words, sequences) words of 64 positions: two bits of the letter, whether it is valid, whether the span holds it."""
+    first, last = _ends(grid)
+    at = np.arange(grid.shape[1])
+    span = (at >= first[:, None]) & (at < last[:, None])
+    wide = np.zeros((4, len(grid), -(-max(1, grid.shape[1]) // 64) * 64), bool)
+    wide[:, :, : grid.shape[1]] = grid & 2, grid & 4, grid > 0, span
+    words = np.packbits(wide, axis=2).view(np.uint64)
+    return np.ascontiguousarray(words.transpose(0, 2, 1))
+
+
+def many_to_many(one: np.ndarray, many: np.ndarray, config: HammingDistance) -> tuple[np.ndarray, np.ndarray]:
+    """(equal, compared) positions of all planes of one set with all of another, as matrices."""
+    kind = np.uint8 if one.shape[1] < 4 else np.uint32
+    equal, compared = (np.zeros((one.shape[2], many.shape[2]), kind) for _ in range(2))
+    for w in range(one.shape[1]):
+        x1, x2, va, sa = one[:, w, :, None]
+        y1, y2, vb, sb = many[:, w]
+        same = x1 ^ ~y1
+        other = x2 ^ ~y2
+        same &= other
+        both = np.bitwise_and(va, vb, out=other)
+        same &= both
+        equal += np.bitwise_count(same)
+        if not config.ignore_gaps:  # a valid position lies in its own span
+            both = va & sb
+            both |= vb & sa
+        compared += np.bitwise_count(both)
+    return equal, compared
+
+
+def least_equal(width: int, threshold: float, config: HammingDistance) -> np.ndarray:
+    """By compared positions, 0..width: the equal ones that a distance within the threshold needs; width + 1 if none do."""
+    n = np.arange(width + 1)
+    guess = np.clip(np.floor(threshold * n), -1, n).astype(np.int64)
+    need = np.full(width + 1, width + 1)
+    for wrong in (guess - 1, guess, guess + 1):  # the product may be rounded; the quotient decides
+        ok = (n > 0) & (wrong >= 0) & (wrong <= n) & (as_distance(wrong, n, config) <= threshold)
+        need = np.where(ok, n - wrong, need)
+    return need
+
+
+def near_pairs(one: np.ndarray, many: np.ndarray, threshold: float, config: HammingDistance, cells: int, inside: bool):
+    """(i, j, mismatches, compared) of pairs of planes within the threshold, some `cells` pairs at a time; i < j `inside` one set."""
+    need = least_equal(one.shape[1] * 64, threshold, config)
+    need = need.astype(np.uint8 if one.shape[1] < 4 else np.uint32)
+    step = max(1, cells // max(1, many.shape[2]))
+    for lo in range(0, one.shape[2], step):
+        equal, compared = many_to_many(one[:, :, lo : lo + step], many, config)
+        i, j = np.divmod(np.flatnonzero(equal >= need[compared]), many.shape[2])
+        if inside:
+            i, j = i[lo + i < j], j[lo + i < j]
+        n = compared[i, j].astype(np.int64)
+        yield lo + i, j, n - equal[i, j], n
+
+
 def as_distance(mismatches: np.ndarray, compared: np.ndarray, config: HammingDistance) -> np.ndarray:
     ok = (compared > 0) & (compared >= config.min_overlap)
     return np.where(ok, mismatches / np.maximum(compared, 1), 1.0)

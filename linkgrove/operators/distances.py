@@ -34,8 +34,10 @@ BLOCK = 512
 TILES, MOST = 4096, 16_384
 #: Pairs of groups of the fast kernels.
 FAST_TILES = 300
+#: Least tasks that these are dealt to, if there are as many.
+TASKS = 96
 #: Pairs that a fast kernel holds at once, and rows of a batch that leaves it.
-CELLS, ROWS = 131_072, 100_000
+CELLS, ROWS = 65_536, 100_000
 #: Nanoseconds for a pair of sequences that share a k-mer by a list, and for a bit of any pair by words of 64 bits.
 LISTED, BIT = 10, 0.04
 #: Pairs that the alignment kernel takes at once.
@@ -191,11 +193,13 @@ def tiles(left: DataFrame, right: DataFrame | None = None, block: int = BLOCK, k
     Rows are shuffled once, in their group; the product reads each group again for each
     task and writes nothing.
     """
-    a, _ = _packed(left, block, key)
-    b = a if right is None else _packed(right, block, key)[0]
+    a, na = _packed(left, block, key)
+    b, nb = (a, na) if right is None else _packed(right, block, key)
     one = a.select(F.col("at").alias("lo"), F.col("rows").alias("one")).hint("shuffle_replicate_nl")
     two = b.select(F.col("at").alias("hi"), F.col("rows").alias("two"))
-    return one.join(two, F.col("lo") <= F.col("hi")) if right is None else one.crossJoin(two.withColumn("hi", F.lit(-1)))
+    pairs = one.join(two, F.col("lo") <= F.col("hi")) if right is None else one.crossJoin(two.withColumn("hi", F.lit(-1)))
+    # a task starts Python, which takes longer than a small tile
+    return pairs.coalesce(max(TASKS, na * nb // 6))
 
 
 def on_tiles(kernel: Callable[[pa.Table, pa.Table | None], Iterator[tuple]], schema: str):
@@ -306,9 +310,6 @@ class Kernel:
 
     def compare(self, left: tuple[np.ndarray, list[str]], right: tuple[np.ndarray, list[str]] | None) -> Iterator[tuple]:
         """Rows of pairs within the threshold, inside `left` or between both."""
-        if isinstance(self.config, HammingDistance):
-            yield from self._hamming(left, right)
-            return
         ia, a = left
         ib, b = right or left
         la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
@@ -323,21 +324,32 @@ class Kernel:
                     d, s = float(dist[m]), float(score[m])
                     yield (lo, hi, s, s, d, d, *self.more(pairs[m]))
 
-    def _hamming(self, left, right) -> Iterator[tuple]:
-        ia, a = left
-        ib, b = right or left
-        grid = hm.encode([*a, *b])
-        ga, gb = grid[: len(a)], grid[len(a) :]
-        for at in range(len(a)):
-            first = at + 1 if right is None else 0
-            wrong, compared = hm.one_to_many(ga[at], gb[first:], self.config)
-            dist = hm.as_distance(wrong, compared, self.config)
-            for m in np.flatnonzero((dist <= self.threshold) & (compared > 0)):
-                j = first + int(m)
-                lo, hi = sorted((int(ia[at]), int(ib[j])))
-                one, other = (ga[at], gb[j]) if lo == ia[at] else (gb[j], ga[at])
-                more = hm.gap_details(one, other) if self.details == "gapstats" else () if self.details == "none" else (None,)
-                yield (lo, hi, float(wrong[m]), float(wrong[m]), float(dist[m]), float(dist[m]), *more)
+
+def _hamming(config: HammingDistance, threshold: float, details: str):
+    types = _types(details)
+
+    def run(one: pa.Table, two: pa.Table | None) -> Iterator[tuple]:
+        parts = [t for t in (one, two) if t is not None]
+        ids = [t.column("seq_idx").to_numpy() for t in parts]
+        grid = hm.encode([s for t in parts for s in t.column("seq").to_pylist()])
+        bits = hm.planes(grid)
+        left, right = bits[:, :, : len(one)], bits if two is None else bits[:, :, len(one) :]
+        grids = grid[: len(one)], grid if two is None else grid[len(one) :]
+        for i, j, wrong, compared in hm.near_pairs(left, right, threshold, config, CELLS, two is None):
+            lo, hi = in_order(ids[0][i], ids[-1][j])
+            score, dist = wrong.astype(np.float64), hm.as_distance(wrong, compared, config)
+            more: list = []
+            if details == "gapstats":
+                found = [
+                    hm.gap_details(*((grids[0][a], grids[1][b]) if ids[0][a] <= ids[-1][b] else (grids[1][b], grids[0][a])))
+                    for a, b in zip(i, j, strict=True)
+                ]
+                more = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types[6:], strict=True)] if found else [pa.array([], t) for t in types[6:]]
+            elif details == "cigar":
+                more = [pa.nulls(len(lo), pa.string())]
+            yield (lo, hi, score, score, dist, dist, *more)
+
+    return run
 
 
 def _group(kernel: Kernel):
@@ -381,9 +393,13 @@ def seq_distmx(
         found = files.file_pairs(seqs.sparkSession, config, numbered, threshold)
     else:
         kernel = Kernel(config, threshold, span, details, constrain)
+        schema = _BASE + _MORE[details]
+        if isinstance(config, HammingDistance):
+            found = tiles(numbered.select("seq_idx", "seq"), block=block).mapInArrow(on_tiles(_hamming(config, threshold, details), schema), schema)
+            return found if by_index else with_names(found, numbered)
         shorter = 1 - threshold if kernel.by_length() else None
         blocks = block_pairs(numbered, block, shorter)
-        found = blocks.groupBy("lo", "hi").applyInArrow(_group(kernel), _BASE + _MORE[details])
+        found = blocks.groupBy("lo", "hi").applyInArrow(_group(kernel), schema)
     return found if by_index else with_names(found, numbered)
 
 

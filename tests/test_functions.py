@@ -126,6 +126,30 @@ def test_hamming_goldens(spark):
     assert hamming(spark, "ACgggGT", "ACGT") == 0.0
 
 
+@pytest.mark.parametrize("width", [1, 40, 64, 65, 300])
+@pytest.mark.parametrize("ignore_gaps", [True, False])
+@pytest.mark.parametrize("overlap", [0, 30])
+def test_hamming_planes(width, ignore_gaps, overlap):
+    """All pairs by words of bits are those of one sequence after the other, to the last bit of a distance."""
+    rng = random.Random(width)
+    seqs = ["".join(rng.choice("ACGT-N") for _ in range(width)) for _ in range(30)] + ["-" * width, "A" * width]
+    seqs += [s[: width // 2] + "-" * (width - width // 2) for s in seqs[:5]] + ["-" * (width - width // 2) + s[: width // 2] for s in seqs[:5]]
+    config = cf.HammingDistance(min_overlap=overlap, ignore_gaps=ignore_gaps)
+    grid = hm.encode(seqs)
+    bits = hm.planes(grid)
+    for t in (0.0, 0.5, 0.7, 1.0, 1.5, -0.1):
+        want = {}
+        for a in range(len(seqs)):
+            wrong, compared = hm.one_to_many(grid[a], grid, config)
+            dist = hm.as_distance(wrong, compared, config)
+            want |= {(a, b): (wrong[b], compared[b]) for b in np.flatnonzero((dist <= t) & (compared > 0))}
+        for inside in (True, False):
+            got = {}
+            for i, j, wrong, compared in hm.near_pairs(bits, bits, t, config, 100, inside):
+                got |= dict(zip(zip(i.tolist(), j.tolist(), strict=True), zip(wrong, compared, strict=True), strict=True))
+            assert got == {(a, b): v for (a, b), v in want.items() if a < b or not inside}
+
+
 def test_hamming_details():
     grid = hm.encode(["AC--GTA", "ACGGG-A"])
     assert hm.gap_details(grid[0], grid[1]) == (7, 2, 1, 2, 1)

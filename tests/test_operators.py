@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from linkgrove import config as cf
+from linkgrove.functions import hamming as hm
 from linkgrove.functions.alignment import distances
 from linkgrove.operators import distances as dm
 from linkgrove.operators import linkage, metrics, ranks, search
@@ -454,6 +455,26 @@ def test_tiles_make_every_pair_once(spark, monkeypatch):
     assert whole and whole == sorted(map(tuple, dm.kmer_pairs(df, 0.97, 4).collect()))
 
 
+@pytest.mark.parametrize("ignore_gaps", [True, False])
+def test_hamming_tiles(spark, monkeypatch, ignore_gaps):
+    """Groups are sent once, as packed rows; pairs, details and best hits are those of one group."""
+    monkeypatch.setattr(dm, "group_size", lambda rows, block=1, pairs=1: 20)
+    rng = random.Random(8)
+    rows = [(i, f"s{i}", "".join(rng.choice("ACGT-") for _ in range(70))) for i in range(70)]
+    df = spark.createDataFrame(rows, "seq_idx long, seq_id string, seq string")
+    config = cf.HammingDistance(ignore_gaps=ignore_gaps)
+    grid = hm.encode([r[2] for r in rows])
+    dist = np.array([hm.as_distance(*hm.one_to_many(g, grid, config), config) for g in grid])
+    pairs = dm.seq_distmx(df, 0.7, config, "gapstats", by_index=True)
+    want = {(i, j): (dist[i, j], *hm.gap_details(grid[i], grid[j])) for i in range(70) for j in range(i + 1, 70) if dist[i, j] <= 0.7}
+    assert want and {(r.seq_idx1, r.seq_idx2): (r.dist2, *r[6:]) for r in pairs.collect()} == want
+    hits = search.seq_search(df.where("seq_idx < 30"), df.where("seq_idx >= 30"), 0.72, config)
+    best = {(f"s{i}", f"s{j}", dist[i, j]) for i in range(30) for j in range(30, 70) if dist[i, j] == dist[i, 30:].min() <= 0.72}
+    assert best and {tuple(r) for r in hits.collect()} == best
+    for df in (pairs, hits):
+        assert "CartesianProduct" in df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("config", [cf.EdlibDistance(), cf.HammingDistance()], ids=lambda c: c.method)
 def test_search_keeps_ties(spark, six, config):
     query = spark.createDataFrame([("q1", "ACGT"), ("q2", "ACCC"), ("q3", "TTTT")], "seq_id string, seq string")
