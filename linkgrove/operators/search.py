@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from linkgrove.config import FileDistance, HammingDistance, Wfa2Distance
 from linkgrove.functions import alignment as al
 from linkgrove.functions import hamming as hm
-from linkgrove.operators.distances import BATCH, Kernel, group_size
+from linkgrove.operators.distances import BATCH, CELLS, Kernel, group_size, on_tiles, tiles
 from linkgrove.sources import distances as files
 
 #: Least queries and references of a task's groups.
@@ -26,21 +28,13 @@ def _best(config, threshold: float, span: str, cigar: bool):
         ids, seqs = table.column("id").to_pylist(), table.column("seq").to_pylist()
         queries, refs = np.flatnonzero(~is_ref), np.flatnonzero(is_ref)
         out: list[tuple] = []
-        grids = None
-        if isinstance(config, HammingDistance) and len(queries) and len(refs):
-            grid = hm.encode([seqs[k] for k in (*queries, *refs)])
-            grids = grid[: len(queries)], grid[len(queries) :]
         ref_len = np.array([len(seqs[k]) for k in refs])
         for at, q in enumerate(queries):
-            if grids:
-                wrong, compared = hm.one_to_many(grids[0][at], grids[1], config)
-                dist = np.where(compared > 0, hm.as_distance(wrong, compared, config), np.inf)
-            else:
-                dist = np.full(len(refs), np.inf)
-                own = np.flatnonzero(kernel.possible(np.full(len(refs), len(seqs[q])), ref_len))
-                for k in range(0, len(own), BATCH):
-                    part = own[k : k + BATCH]
-                    dist[part] = kernel.rows([seqs[q]] * len(part), [seqs[refs[r]] for r in part])[0]
+            dist = np.full(len(refs), np.inf)
+            own = np.flatnonzero(kernel.possible(np.full(len(refs), len(seqs[q])), ref_len))
+            for k in range(0, len(own), BATCH):
+                part = own[k : k + BATCH]
+                dist[part] = kernel.rows([seqs[q]] * len(part), [seqs[refs[r]] for r in part])[0]
             if len(dist) and (least := dist.min()) <= threshold:
                 for r in np.flatnonzero(dist == least):
                     ref = refs[r]
@@ -56,6 +50,23 @@ def _best(config, threshold: float, span: str, cigar: bool):
     return run
 
 
+def _best_hamming(config: HammingDistance, threshold: float):
+    def run(one: pa.Table, two: pa.Table) -> Iterator[tuple]:
+        grid = hm.encode([*one.column("seq").to_pylist(), *two.column("seq").to_pylist()])
+        bits = hm.planes(grid)
+        queries, refs = bits[:, :, : len(one)], bits[:, :, len(one) :]
+        ids = [t.column("seq_id").combine_chunks() for t in (one, two)]
+        for i, j, wrong, compared in hm.near_pairs(queries, refs, threshold, config, CELLS, False):
+            # a query's pairs with all references of the group come at once
+            dist = hm.as_distance(wrong, compared, config)
+            least = np.full(len(one), np.inf)
+            np.minimum.at(least, i, dist)
+            best = dist == least[i]
+            yield ids[0].take(pa.array(i[best])), ids[1].take(pa.array(j[best])), dist[best]
+
+    return run
+
+
 def best_hits(hits: DataFrame) -> DataFrame:
     """All hits of each query at its least distance."""
     w = Window.partitionBy("seq_id")
@@ -73,13 +84,17 @@ def seq_search(
     """(seq_id, ref_id, dist[, cigar]): every reference at the least distance of each query, if within the threshold.
 
     Queries without a hit have no row. Pairs of blocks are compared in one task each,
-    which sends on its own best hits only; the best of those is a window over hits.
+    which sends on its own best hits only; the best of those are found among hits.
     """
     config = config if config is not None else Wfa2Distance()
     if isinstance(config, FileDistance):
         return best_hits(files.file_hits(query.sparkSession, config, query, ref).where(F.col("dist") <= threshold))
     if isinstance(config, HammingDistance) and (return_cigar or span != "global"):
         raise ValueError("Hamming distance has neither CIGAR nor extension")
+    if isinstance(config, HammingDistance):
+        pairs = tiles(query.select("seq_id", "seq"), ref.select("seq_id", "seq"), key="seq_id")
+        schema = "seq_id string, ref_id string, dist double"
+        return best_hits(pairs.mapInArrow(on_tiles(_best_hamming(config, threshold), schema), schema))
     rows = query.count(), ref.count()
     nq, nr = (max(1, -(-n // group_size(n, least))) for n, least in zip(rows, (QUERY_BLOCK, REF_BLOCK), strict=True))
 
