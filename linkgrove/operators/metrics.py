@@ -8,8 +8,11 @@ null.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,27 +104,37 @@ def mutual_information(clusters: DataFrame, truth: DataFrame, keys: Sequence[str
     return _mutual(contingency(clusters, truth, keys), keys)
 
 
-def log_factorials(df: DataFrame, most: int) -> DataFrame:
-    """(m, lf): ln m! for 0..most.
+#: Numbers whose ln m! is looked up, and terms of one row of `_expected`.
+_SMALL, _TERMS = 16, 4096
+_LOGS = np.array([math.log(math.factorial(k)) for k in range(_SMALL)])
 
-    Ranges of numbers are summed apart and then offset by the ranges before, so no
-    task orders the whole table.
-    """
-    size = 4096
-    logs = df.sparkSession.range(most + 1).select(
-        F.col("id").alias("m"), (F.col("id") / size).cast("long").alias("part"), F.log(F.greatest("id", F.lit(1))).alias("l")
-    )
-    parts = logs.groupBy("part").agg(F.sum("l").alias("s"))
-    before = parts.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("base"))
-    run = Window.partitionBy("part").orderBy("m")
-    return logs.withColumn("run", F.sum("l").over(run)).join(before, "part").select("m", (F.col("base") + F.col("run")).alias("lf"))
+
+def log_factorial(m: np.ndarray) -> np.ndarray:
+    """ln m! for whole m >= 0, by Stirling's series, so no table as long as the number of objects is made or joined."""
+    x = np.maximum(m, _SMALL).astype(np.float64)
+    r = 1 / (x * x)
+    series = (x + 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r * (1 / 1680 - r / 1188)))) / x
+    return np.where(m < _SMALL, _LOGS[np.minimum(m, _SMALL - 1)], series)
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ntot, a, b, e): the sum of the terms low..high of one pair of cluster sizes."""
+    for batch in batches:
+        out = []
+        for ntot, a, b, low, high in zip(*(batch.column(c).to_numpy() for c in ("ntot", "a", "b", "low", "high")), strict=True):
+            n = np.arange(low, high + 1)
+            fixed = log_factorial(np.array([a, b, ntot - a, ntot - b])).sum() - log_factorial(np.array([ntot]))[0]
+            rest = log_factorial(n) + log_factorial(a - n) + log_factorial(b - n) + log_factorial(ntot - a - b + n)
+            out.append(float((n / ntot * np.log(float(ntot) * n / (float(a) * float(b))) * np.exp(fixed - rest)).sum()))
+        yield pa.record_batch([*(batch.column(c) for c in ("ntot", "a", "b")), pa.array(out, pa.float64())], names=["ntot", "a", "b", "e"])
 
 
 def _expected(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, EMI, hk, hc): expected mutual information under random labels, and both entropies.
 
     Only cluster sizes matter, so each distinct (N, a, b) is worked out once for all
-    keys that share it, with its multiplicity joined back.
+    keys that share it, with its multiplicity joined back. Its terms are made in runs of
+    _TERMS, dealt over the tasks; they are about the root of the smaller cluster in number.
     """
     ks = cells.select(*keys, "k", "nk", "ntot").distinct()
     cs = cells.select(*keys, "c", "nc", "ntot").distinct()
@@ -129,29 +142,22 @@ def _expected(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     b_sizes = cs.groupBy(*keys, "ntot", F.col("nc").alias("b")).agg(F.count(F.lit(1)).alias("nb"))
     pairs = a_sizes.join(b_sizes, [*keys, "ntot"])
     shapes = pairs.select("ntot", "a", "b").distinct()
-    low = F.greatest(F.lit(1).cast("long"), F.col("a") + F.col("b") - F.col("ntot"))
-    terms = shapes.withColumn("n", F.explode(F.sequence(low, F.least("a", "b"))))
-    most = cells.agg(F.coalesce(F.max("ntot"), F.lit(0))).first()[0]
-    lf = log_factorials(cells, int(most))
-    # distinct arguments only; each is looked up by an equi-join
-    for name, at in {
-        "la": F.col("a"), "lb": F.col("b"), "lna": F.col("ntot") - F.col("a"), "lnb": F.col("ntot") - F.col("b"), "lN": F.col("ntot"),
-    }.items():
-        table = lf.select(F.col("m").alias("_m"), F.col("lf").alias(name))
-        shapes = shapes.join(table, at == F.col("_m")).drop("_m")
-    terms = terms.join(shapes, ["ntot", "a", "b"])
-    for name, at in {
-        "l1": F.col("n"), "l2": F.col("a") - F.col("n"), "l3": F.col("b") - F.col("n"), "l4": F.col("ntot") - F.col("a") - F.col("b") + F.col("n"),
-    }.items():
-        table = lf.select(F.col("m").alias("_m"), F.col("lf").alias(name))
-        terms = terms.join(table, at == F.col("_m")).drop("_m")
-    n, total = F.col("n").cast("double"), F.col("ntot").cast("double")
-    weight = F.exp(
-        F.col("la") + F.col("lb") + F.col("lna") + F.col("lnb") - F.col("lN") - F.col("l1") - F.col("l2") - F.col("l3") - F.col("l4")
-    )
-    emi = terms.groupBy("ntot", "a", "b").agg(
-        F.sum(n / total * F.log(total * n / (F.col("a").cast("double") * F.col("b"))) * weight).alias("e")
+    # Beyond this far from the mean a term's weight is under exp(-750) by Hoeffding's bound, which is 0 in a double.
+    least = F.least("a", "b")
+    mean = F.col("a").cast("double") * F.col("b") / F.col("ntot")
+    far = F.ceil(F.sqrt(375.0 * least)) + 1
+    low = F.greatest(F.lit(1).cast("long"), F.col("a") + F.col("b") - F.col("ntot"), F.floor(mean) - far)
+    high = F.least(least, F.ceil(mean) + far)
+    parts = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = (
+        shapes.withColumns({"low": low, "high": high})
+        .where("low <= high")
+        .withColumn("low", F.explode(F.sequence("low", "high", F.lit(_TERMS).cast("long"))))
+        .withColumn("high", F.least("high", F.col("low") + (_TERMS - 1)))
+        .repartition(parts)
     )
+    sums = runs.mapInArrow(_terms, "ntot long, a long, b long, e double")
+    emi = sums.groupBy("ntot", "a", "b").agg(F.sum("e").alias("e"))
     expected = pairs.join(emi, ["ntot", "a", "b"]).groupBy(*keys).agg(F.sum(F.col("e") * F.col("na") * F.col("nb")).alias("EMI"))
 
     def entropy(sizes: DataFrame, size: str, count: str, name: str) -> DataFrame:

@@ -255,6 +255,25 @@ def test_equal_partitions(spark):
     assert r["MCC"] is None and r["ARI"] is None and r["AMI"] is None and r["FM"] == 1
 
 
+def test_expected_information_of_large_clusters(spark):
+    """No table as long as the number of objects is made or broadcast; runs of terms and far terms left out give the whole sum."""
+    m = np.array([0, 1, 2, 15, 16, 17, 1000, 10**9])
+    assert metrics.log_factorial(m) == pytest.approx([math.lgamma(k + 1) for k in m.tolist()], rel=1e-14, abs=1e-14)
+    n, a, b = 60_000, 25_000, 30_001
+    k = spark.range(n).select(F.lit(0).alias("t_idx"), F.col("id").alias("obj"), (F.col("id") < a).cast("long").alias("k"))
+    c = spark.range(n).select(F.col("id").alias("obj"), (F.col("id") % 7 * 10_000 + F.col("id") % 10_000 < b).cast("int").alias("c"))
+    sizes = {r.c: r["count"] for r in c.groupBy("c").count().collect()}
+    want, lf = 0.0, lambda x: math.lgamma(x + 1)
+    for x in (a, n - a):
+        for y in sizes.values():
+            for i in range(max(1, x + y - n), min(x, y) + 1):
+                p = math.exp(lf(x) + lf(y) + lf(n - x) + lf(n - y) - lf(n) - lf(i) - lf(x - i) - lf(y - i) - lf(n - x - y + i))
+                want += i / n * math.log(n * i / (x * y)) * p
+    found = metrics.adjusted_mutual_information(k, c)
+    assert found.first().EMI == pytest.approx(want, rel=1e-4, abs=1e-9)
+    assert "Range" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sets_and_intersections(spark):
     sets = spark.createDataFrame([(0, [[0], [1, 2], [3, 4]])], "t_idx int, sets array<array<long>>")
     k = metrics.from_sets(sets, "k", ["t_idx"])
