@@ -107,7 +107,8 @@ def assign_taxa(
         pairs = seq_distmx(numbered, top, config or Wfa2Distance()).select(
             F.col("seq_id1").alias("seq_id"), F.col("seq_id2").alias("other_id"), F.col("dist2").alias("dist")
         )
-    pairs = staged(pairs, "assign-pairs")
+    # no threshold of a rank or parent is above the largest
+    pairs = staged(pairs.where(F.col("dist") <= top), "assign-pairs")
     first = known_taxa(tax_prob, root, prob_thresh).withColumnRenamed("taxon", root)
     table = staged(numbered.select("seq_id").join(first, "seq_id"), "assign-table")
     pseudo: DataFrame | None = None

@@ -474,6 +474,17 @@ def test_tiles_make_every_pair_once(spark, monkeypatch):
     assert whole and whole == sorted(map(tuple, dm.kmer_pairs(df, 0.97, 4).collect()))
 
 
+def test_vectors_are_sent_once(spark, data, monkeypatch):
+    """Cosine pairs of several groups: each group is packed and shuffled once, whatever the number of tiles."""
+    from linkgrove.queries import embedding_pairs
+
+    whole = sorted(map(tuple, embedding_pairs(spark, data).collect()))
+    monkeypatch.setattr(dm, "group_size", lambda rows, block=1, pairs=1: 150)
+    found = embedding_pairs(spark, data)
+    assert whole and whole == sorted(map(tuple, found.collect()))
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("ignore_gaps", [True, False])
 def test_hamming_tiles(spark, monkeypatch, ignore_gaps):
     """Groups are sent once, as packed rows; pairs, details and best hits are those of one group."""
